@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import copies, survivor
+from graphloom.llm import copies, pieces, survivor
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.llm.tables import table
 
@@ -37,7 +37,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("ideal").select("first_id", "row_id")
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("chunk_id", "config_id", "text", "loaded_at")
+    return pieces.pieces(chunks, table(spark, folder, "chunk_configs"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks that had to be cut."""
+    return _pieces(spark, folder).where(F.col("piece_pos") == 1).select("chunk_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).select("chunk_id", "loaded_at", "piece_pos", "char_start", "char_end", "piece")
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_collapsed": p3_collapsed,
     "p7_found": p7_found,

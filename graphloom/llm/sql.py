@@ -33,6 +33,10 @@ WITH measured AS (
 """
 
 SQL = {
+    "p2_found": """
+SELECT DISTINCT chunk_id FROM chunks c
+LEFT JOIN chunk_configs g USING (config_id), (SELECT fixed_size AS d FROM chunk_configs WHERE is_default)
+WHERE length(text) > coalesce(g.fixed_size, d)""",
     "p3_found": _RECORDS + "SELECT DISTINCT record_table, first_id, row_id FROM grouped WHERE row_id <> first_id",
     "p3_collapsed": _RECORDS + "SELECT record_table, first_id, count(*) AS copies FROM grouped GROUP BY record_table, file_id, k, first_id",
     "p7_found": _MEASURED
