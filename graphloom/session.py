@@ -44,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for stages whose cost is in Python and not in bytes: adaptive coalescing, which goes by
+    bytes, would leave such a stage to a few tasks. A repartition by number is not coalesced."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
