@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from graphloom.functions.text import alike_key, is_blank
 from graphloom.operators.skew import lookup
-from graphloom.session import cut
+from graphloom.session import cut, task_count
 
 #: Rows of partial counts that one bucket may hold: a trie of so many keys takes some 60 MB.
 BUCKET_ROWS = 100_000
@@ -162,7 +162,7 @@ def collapse(records: DataFrame, bucket_rows: int = BUCKET_ROWS, stride: int = S
     single = records.select("record", F.lit(1).cast("bigint").alias("copies"), F.col("row_id").alias("first_id"))
     partial = cut(single.mapInPandas(_count_partition, COUNTS))
     spread = radix_buckets(partial, bucket_rows, stride)
-    spread = spread.repartition("bucket").sortWithinPartitions("bucket")
+    spread = spread.repartition(task_count(spread.sparkSession), "bucket").sortWithinPartitions("bucket")
     return spread.mapInPandas(_count_buckets, COUNTS)
 
 

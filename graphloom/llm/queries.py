@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import copies, pieces, survivor
+from graphloom.llm import copies, names, pieces, survivor
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.llm.tables import table
 
@@ -51,7 +51,12 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder).select("chunk_id", "loaded_at", "piece_pos", "char_start", "char_end", "piece")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.map_names(table(spark, folder, "entities"), table(spark, folder, "carol_canonical"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
