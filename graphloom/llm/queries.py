@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import copies, names, pieces, survivor
+from graphloom.llm import copies, names, pieces, sentences, survivor
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.llm.tables import table
 
@@ -55,7 +55,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.map_names(table(spark, folder, "entities"), table(spark, folder, "carol_canonical"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "chunks"))
+
+
 QUERIES = {
+    "p4_found": p4_found,
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
