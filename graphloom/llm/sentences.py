@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Abbreviations whose stop never ends a sentence, and those whose stop may.
+# Abbreviations whose stop never ends a sentence, those whose stop ends none before a number,
+# and those whose stop may end one.
 NEVER = (
-    "mr mrs ms mx messrs dr drs prof capt cpt col gen lt sgt maj rev hon st ste mt ft sra sr srta dra ud uds vd "
-    "m mm mme mmes mlle mlles me mgr hr fr frl nr no nos n.º vol vols p pp pg ver vers ed eds ch chap sec fig figs "
-    "cf vs viz approx ca c i.e e.g z.b d.h u.a o.ä bzw usw.z vgl s abs art bd kap str tel op al ibid id pag pág "
-    "núm vid ej av avda bd h min sec jan feb mar apr jun jul aug sept sep oct nov dec ex resp डॉ श्री प्रो พ.ศ ค.ศ ดร น.ส"
+    "mr mrs ms mx messrs dr drs prof capt cpt lt sgt st mt ft sra sr srta dra ud uds vd vds mm mme mmes mlle mlles mgr hr "
+    "ver vers approx ca i.e e.g z.b d.h u.a o.ä bzw vgl cf vs viz ibid डॉ श्री प्रो พ.ศ ค.ศ ดร น.ส"
+).split()
+NUMBERED = (
+    "no nos nr n.º núm vol vols p pp pg pag pág s abs art bd kap ed eds ch chap sec fig figs op tel str av bd "
+    "jan feb mar apr jun jul aug sept sep oct nov dec min h"
 ).split()
 MAY = "jr snr esq etc co inc ltd corp bros a.m p.m am pm ph.d m.d b.a m.a u.s u.k usw etw".split()
 # German months and the words before a date, for ordinals such as "am 3. Mai".
@@ -57,24 +60,23 @@ OPEN_END = 400
 
 
 def abbreviation_trie() -> dict:
-    """Letters from last to first; the key "" holds whether the stop never ends a sentence."""
+    """Letters from last to first; the key "" holds what the stop can be."""
     root: dict = {}
-    for words, never in ((MAY, False), (NEVER, True)):
+    for words, kind in ((MAY, "may"), (NUMBERED, "numbered"), (NEVER, "never")):
         for word in words:
             node = root
             for letter in reversed(word):
                 node = node.setdefault(letter, {})
-            node[""] = never
+            node[""] = kind
     return root
 
 
 _TRIE = abbreviation_trie()
 
 
-def abbreviation(text: str, stop: int) -> bool | None:
-    """Of the word before the stop at ``stop``: True when its stop never ends a sentence, False when it may,
-    None when it is no abbreviation."""
-    node, at, found = _TRIE, stop - 1, None
+def abbreviation(text: str, stop: int) -> str:
+    """The kind of the abbreviation before the stop at ``stop``: never, numbered, may, or "" for none."""
+    node, at, found = _TRIE, stop - 1, ""
     while at >= 0:
         node = node.get(text[at].lower())
         if node is None:
@@ -207,9 +209,9 @@ class _Run:
             return at
         if run == ".":
             word = abbreviation(text, start)
-            if word:
+            if word == "never" or (word == "numbered" and text[nxt].isdigit()):
                 return at
-            if word is None:
+            if word != "may":
                 letter = text[start - 1] if start > self.unit else " "
                 lone = start - 1 == self.unit or (start - 2 >= self.begin and not text[start - 2].isalnum())
                 if letter.isalpha() and lone and (letter.islower() or letter.isupper()):
@@ -246,7 +248,7 @@ class _Run:
             return at
         if self._goes_on(nxt) or ch in ".!?…" or ch in WIDE:
             return at
-        if last == "." and inner >= 2 and abbreviation(text, inner - 1) is True:
+        if last == "." and inner >= 2 and abbreviation(text, inner - 1) == "never":
             return at
         opens = ch in "\"'" or (ch in CLOSERS and ch not in BRACKETS)
         caseless = ch.isalpha() and not (ch.isupper() or ch.istitle())
@@ -278,7 +280,7 @@ class _Run:
             if opens or self.intro:
                 self._cut(at)
             return
-        if before == "." and abbreviation(text, start - 1):
+        if before == "." and abbreviation(text, start - 1) in ("never", "numbered"):
             return
         if opens and text[max(self.unit, start - 3) : start] == "ว่า":
             return
