@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import copies, names, pieces, sentences, survivor
+from graphloom.llm import copies, leaks, names, pieces, sentences, survivor
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.llm.tables import table
 
@@ -59,7 +59,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "chunks"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p9_removals(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.removals(_leaks(spark, folder))
+
+
 QUERIES = {
+    "p9_found": p9_found,
+    "p9_removals": p9_removals,
     "p4_found": p4_found,
     "p1_found": p1_found,
     "p2_found": p2_found,

@@ -33,6 +33,16 @@ WITH measured AS (
 """
 
 SQL = {
+    "p9_found": """
+WITH toks AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[\\p{L}\\p{N}]+') AS w, 12 AS n FROM documents
+  UNION ALL SELECT 'd', doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]'), 20 FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[\\p{L}\\p{N}]+'), 12 FROM eval_items WHERE lang NOT LIKE 'zh%'
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]'), 20 FROM eval_items WHERE lang LIKE 'zh%'
+), grams AS (
+  SELECT DISTINCT kind, id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM toks, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS t(i)
+)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i USING (n, g) WHERE d.kind = 'd' AND i.kind = 'i'""",
     "p2_found": """
 SELECT DISTINCT chunk_id FROM chunks c
 LEFT JOIN chunk_configs g USING (config_id), (SELECT fixed_size AS d FROM chunk_configs WHERE is_default)
