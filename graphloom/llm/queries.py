@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import copies, leaks, names, pieces, sentences, survivor
+from graphloom.llm import copies, leaks, names, neighbours, pieces, sentences, survivor
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.llm.tables import table
 
@@ -71,7 +71,16 @@ def p9_removals(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.removals(_leaks(spark, folder))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = [
+        neighbours.pairs(neighbours.nearest(table(spark, folder, t))).select(F.lit(t).alias("vector_table"), "id_a", "id_b")
+        for t in ("entity_vectors", "chunk_vectors")
+    ]
+    return found[0].unionByName(found[1])
+
+
 QUERIES = {
+    "p6_found": p6_found,
     "p9_found": p9_found,
     "p9_removals": p9_removals,
     "p4_found": p4_found,

@@ -32,7 +32,21 @@ WITH measured AS (
     count(*) OVER g AS n FROM measured WINDOW g AS (PARTITION BY file_id, k))
 """
 
+_NEAR = """
+  SELECT '{t}' AS vector_table, least(id, other) AS id_a, greatest(id, other) AS id_b
+  FROM (
+    SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r
+    FROM {t}_v a JOIN {t}_v b ON a.id <> b.id) WHERE r <= 5"""
+_VECTORS = """{t}_v AS (
+  SELECT id, min(CAST(vec AS DOUBLE[])) AS v FROM {t}
+  WHERE id IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY id)"""
+
 SQL = {
+    "p6_found": "WITH "
+    + ", ".join(_VECTORS.format(t=t) for t in ("entity_vectors", "chunk_vectors"))
+    + "SELECT DISTINCT * FROM ("
+    + " UNION ALL ".join(_NEAR.format(t=t) for t in ("entity_vectors", "chunk_vectors"))
+    + ")",
     "p9_found": """
 WITH toks AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[\\p{L}\\p{N}]+') AS w, 12 AS n FROM documents
