@@ -115,6 +115,22 @@ def encoded(forms: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     return codes, lengths, alphabet
 
 
+_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789ß ")}
+_REPEATS = 6
+
+
+def letter_bags(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter counts in unary, so that a product of rows counts the common letters; and for each form the
+    letters beyond what is counted so. Letters that are not listed share one place."""
+    kinds = len(_LETTERS) + 1
+    counts = np.zeros((len(forms), kinds), dtype=np.int32)
+    for i, form in enumerate(forms):
+        for c in form:
+            counts[i, _LETTERS.get(c, kinds - 1)] += 1
+    unary = counts[:, :, None] > np.arange(_REPEATS)
+    return unary.reshape(len(forms), -1).astype(np.float32), np.maximum(counts - _REPEATS, 0).sum(axis=1)
+
+
 class BKTree:
     """Entries by their distances: every entry below edge e of a node is at distance e from the node."""
 
@@ -123,6 +139,16 @@ class BKTree:
         for form, name in entries:
             names.setdefault(form, set()).add(name)
         self.root = self._node(names) if names else None
+        self.bags, self.spare = letter_bags(list(names))
+        self.sizes = np.array([len(f) for f in names], dtype=np.int64)
+
+    def _possible(self, forms: list[str], limit: np.ndarray) -> np.ndarray:
+        """False for a form that no entry can be near: an edit changes at most one letter, so the larger
+        length less the common letters bounds the distance from below. Loses nothing."""
+        bags, spare = letter_bags(forms)
+        common = bags @ self.bags.T + np.minimum(spare[:, None], self.spare[None, :])
+        sizes = np.array([len(f) for f in forms], dtype=np.int64)
+        return (np.maximum(sizes[:, None], self.sizes[None, :]) - common <= limit[:, None]).any(axis=1)
 
     def _node(self, names: dict[str, set[str]]) -> list:
         """[form, names, children by distance]; a node's whole subtree is measured in one call."""
@@ -153,6 +179,9 @@ class BKTree:
         order = sorted(range(len(forms)), key=lambda i: len(forms[i]))
         for start in range(0, len(order), BLOCK):
             block = np.array(order[start : start + BLOCK])
+            block = block[self._possible([forms[i] for i in block], np.array([most[i] for i in block]))]
+            if not len(block):
+                continue
             codes, lengths, alphabet = encoded([forms[i] for i in block])
             limit = np.array([most[i] for i in block])
             stack = [(self.root, np.arange(len(block)))]
