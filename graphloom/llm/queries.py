@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import copies, leaks, names, neighbours, pieces, sentences, survivor
+from graphloom.llm import copies, leaks, names, neighbours, pieces, sentences, subjects, survivor
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.llm.tables import table
 
@@ -79,7 +79,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_areas(*[table(spark, folder, t) for t in ("documents", "doc_labels", "subject_list")])
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by source and subject: documents and characters (a document of two subjects counts in both)."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("chars"))
+    found = _subjects(spark, folder).select("doc_id", "subject").distinct()
+    both = docs.join(found, "doc_id", "left").withColumn("subject", F.coalesce("subject", F.lit("(none)")))
+    return both.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
     "p6_found": p6_found,
     "p9_found": p9_found,
     "p9_removals": p9_removals,
