@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import copies, leaks, names, neighbours, pieces, sentences, subjects, survivor
+from graphloom.llm import copies, leaks, names, neighbours, packing, pieces, sentences, subjects, survivor
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.llm.tables import table
 
@@ -95,7 +95,17 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"))
 
 
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "container_specs"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p8_packing(spark, folder), table(spark, folder, "container_specs"))
+
+
 QUERIES = {
+    "p8_packing": p8_packing,
+    "p8_fill": p8_fill,
     "p10_found": p10_found,
     "p10_composition": p10_composition,
     "p6_found": p6_found,
