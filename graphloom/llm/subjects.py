@@ -158,7 +158,7 @@ def gradient(params: Params, p: dict[str, np.ndarray]) -> tuple[list[np.ndarray]
 
 #: Labelled documents that the model is fitted on, at most, and the partitions that hold them.
 LABELLED = 20_000
-PACKS = 8
+PACKS = 6
 ROUNDS = 22
 RATE = 0.1
 SURE = 0.5
@@ -169,9 +169,14 @@ KNOWN_WORDS = 200_000
 _FIELDS = ("word", "words", "gram", "grams", "label", "weight")
 _PACKED = T.StructType([T.StructField(f, T.BinaryType()) for f in _FIELDS])
 _SUMS = T.StructType(
-    [T.StructField(f, T.BinaryType()) for f in ("embed", "out", "bias")]
-    + [T.StructField("loss", T.DoubleType()), T.StructField("rows", T.LongType())]
+    [
+        T.StructField("slice", T.IntegerType()),
+        T.StructField("sums", T.BinaryType()),
+        T.StructField("rows", T.LongType()),
+    ]
 )
+#: Slices in which the partitions' sums are added up, on the executors, before the driver sees them.
+SLICES = 8
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = LABELLED) -> DataFrame:
@@ -211,36 +216,42 @@ def _unpacked(row: pd.Series, subjects: int) -> dict[str, np.ndarray]:
 
 def _summer(shared, subjects: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, loss, rows = None, 0.0, 0
+        total, rows = None, 0
         for batch in batches:
             for _, row in batch.iterrows():
                 packed = _unpacked(row, subjects)
-                grads, one = gradient(shared.value, packed)
-                total = grads if total is None else [a + b for a, b in zip(total, grads, strict=True)]
-                loss, rows = loss + one, rows + len(packed["words"])
+                flat = np.concatenate([g.ravel() for g in gradient(shared.value, packed)[0]])
+                total = flat if total is None else total + flat
+                rows += len(packed["words"])
         if total is not None:
-            yield pd.DataFrame(
-                {"embed": [total[0].tobytes()], "out": [total[1].tobytes()], "bias": [total[2].tobytes()], "loss": [loss], "rows": [rows]}
-            )
+            parts = np.array_split(total, SLICES)
+            yield pd.DataFrame({"slice": range(SLICES), "sums": [p.tobytes() for p in parts], "rows": rows})
 
     return run
 
 
+def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(b, dtype=np.float32) for b in rows["sums"])
+    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "sums": [total.tobytes()], "rows": [rows["rows"].sum()]})
+
+
 def train(rows: DataFrame, subjects: int, rounds: int = ROUNDS) -> Params | None:
-    """The fitted model; None without training rows. A round brings PACKS sums of the size of the model to
-    the driver, whatever the data."""
+    """The fitted model; None without training rows. A round brings one sum of the size of the model to the
+    driver, whatever the data; the partitions' sums are added up before, slice by slice."""
     spark = rows.sparkSession
     packed = cut(rows.repartition(PACKS, "doc_id").mapInPandas(_packer(subjects), _PACKED))
     params = Params.start(subjects)
     adam = Adam(params, RATE)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(params)
-        sums = packed.mapInPandas(_summer(shared, subjects), _SUMS).collect()
+        sums = packed.mapInPandas(_summer(shared, subjects), _SUMS).groupBy("slice").applyInPandas(_add_up, _SUMS).collect()
         if not sums:
             return None
-        n = sum(s["rows"] for s in sums)
-        grads = [sum(np.frombuffer(s[f], dtype=np.float32) for s in sums) / n for f in ("embed", "out", "bias")]
-        adam.step(params, [g.reshape(p.shape) for g, p in zip(grads, params.arrays(), strict=True)])
+        flat = np.concatenate([np.frombuffer(s["sums"], dtype=np.float32) for s in sorted(sums, key=lambda s: s["slice"])])
+        del sums[1:]
+        flat = flat / sums[0]["rows"]
+        ends = np.cumsum([p.size for p in params.arrays()])[:-1]
+        adam.step(params, [g.reshape(p.shape) for g, p in zip(np.split(flat, ends), params.arrays(), strict=True)])
         shared.destroy()
     return params
 
