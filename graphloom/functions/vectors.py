@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.let import let
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,8 +32,11 @@ def cosine_of(product: Column, norm_a: Column, norm_b: Column) -> Column:
 
 def letter_frequencies(text: Column) -> Column:
     """The default embedding: how often each of the 26 letters occurs. Whole numbers, so sums are exact."""
-    low = F.lower(text)
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in ALPHABET])
+
+    def counts(low: Column) -> Column:
+        return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in ALPHABET])
+
+    return let(F.lower(text), counts)
 
 
 def tokens(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import ChunkConfig
+from graphloom.functions.let import let
 from graphloom.functions.sentences import split_sentences
 from graphloom.functions.vectors import cosine_of, dot, letter_frequencies, norm
 
@@ -33,21 +34,29 @@ def fixed_parts(text: Column, size: int, overlap: int) -> Column:
 
 def window_parts(sentences: Column, size: int, overlap: int) -> Column:
     """Windows of sentences; a last one is aligned with the end when the steps do not reach it."""
-    n = F.size(sentences)
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), n - size, F.lit(size - overlap)), F.array(n - size)))
-    many = F.transform(starts, lambda i: F.array_join(F.slice(sentences, i + 1, F.lit(size)), " "))
-    return F.when(n > size, many).when(n > 0, F.array(F.array_join(sentences, " ")))
+
+    def windows(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), n - size, F.lit(size - overlap)), F.array(n - size)))
+        many = F.transform(starts, lambda i: F.array_join(F.slice(s, i + 1, F.lit(size)), " "))
+        return F.when(n > size, many).when(n > 0, F.array(F.array_join(s, " ")))
+
+    return let(sentences, windows)
 
 
 def context(sentences: Column, buffer: int) -> Column:
     """Each sentence with its neighbours, clipped at the ends."""
-    n = F.size(sentences)
 
-    def around(_: Column, i: Column) -> Column:
-        first = F.greatest(i - buffer, F.lit(0))
-        return F.array_join(F.slice(sentences, first + 1, F.least(i + buffer, n - 1) - first + 1), " ")
+    def around(s: Column) -> Column:
+        n = F.size(s)
+
+        def one(_: Column, i: Column) -> Column:
+            first = F.greatest(i - buffer, F.lit(0))
+            return F.array_join(F.slice(s, first + 1, F.least(i + buffer, n - 1) - first + 1), " ")
 
-    return F.transform(sentences, around)
+        return F.transform(s, one)
+
+    return let(sentences, around)
 
 
 def with_sentences(df: DataFrame) -> DataFrame:
@@ -56,30 +65,33 @@ def with_sentences(df: DataFrame) -> DataFrame:
 
 def with_distances(df: DataFrame, buffer: int, embed: Embedder = letter_frequencies) -> DataFrame:
     """Adds ``distances``: 1 - cosine of the contexts of neighbouring sentences. Needs ``sentences``."""
-    df = df.withColumn("_e", F.transform(context(F.col("sentences"), buffer), embed))
-    df = df.withColumn("_n", F.transform("_e", norm))
-    pairs = F.sequence(F.lit(0), F.size("_e") - 2)
-    e, n = F.col("_e"), F.col("_n")
-    one = F.lit(1.0)
-    distances = F.when(
-        F.size("_e") > 1, F.transform(pairs, lambda i: one - cosine_of(dot(e[i], e[i + 1]), n[i], n[i + 1]))
-    ).otherwise(F.expr("CAST(array() AS ARRAY<DOUBLE>)"))
-    return df.withColumn("distances", distances).drop("_e", "_n")
+
+    def distances(e: Column, n: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.size(e) - 2)
+        far = F.transform(pairs, lambda i: F.lit(1.0) - cosine_of(dot(e[i], e[i + 1]), n[i], n[i + 1]))
+        return F.when(F.size(e) > 1, far).otherwise(F.expr("CAST(array() AS ARRAY<DOUBLE>)"))
+
+    embedded = F.transform(context(F.col("sentences"), buffer), embed)
+    return df.withColumn("distances", let(embedded, lambda e: let(F.transform(e, norm), lambda n: distances(e, n))))
 
 
 def percentile(values: Column, p: float) -> Column:
     """Linear interpolation at (n - 1) p / 100 of the sorted values; 0 for none."""
-    s = F.array_sort(values)
-    rank = (F.size(s) - 1) * F.lit(float(p)) / F.lit(100.0)
-    low = F.floor(rank).cast("int")
-    w = rank - low
-    high = F.least(low + 1, F.size(s) - 1)
-    return F.when(F.size(s) > 0, s[low] * (F.lit(1.0) - w) + s[high] * w).otherwise(F.lit(0.0))
+
+    def at(s: Column) -> Column:
+        rank = (F.size(s) - 1) * F.lit(float(p)) / F.lit(100.0)
+        low = F.floor(rank).cast("int")
+        w = rank - low
+        high = F.least(low + 1, F.size(s) - 1)
+        return F.when(F.size(s) > 0, s[low] * (F.lit(1.0) - w) + s[high] * w).otherwise(F.lit(0.0))
+
+    return let(F.array_sort(values), at)
 
 
 def boundaries(distances: Column, threshold: Column, n: Column, least: int, most: int) -> Column:
     """The last sentence of each chunk: cut after i when the chunk has ``least`` and its distance reaches the
-    threshold, or when it has ``most``; a tail under ``least`` joins the chunk before."""
+    threshold, or when it has ``most``; a tail under ``least`` joins the chunk before. The three columns have to be
+    bound (``let``) by the caller."""
     zero = F.struct(F.lit(0).alias("start"), F.expr("CAST(array() AS ARRAY<INT>)").alias("ends"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -104,15 +116,21 @@ def semantic_chunks(df: DataFrame, config: ChunkConfig, embed: Embedder = letter
     n = F.size("sentences")
     short = numbered(rows.where(n <= config.max_sentences), F.array(F.array_join("sentences", " ")))
     long = with_distances(rows.where(n > config.max_sentences), config.buffer, embed)
-    long = long.withColumn("_t", percentile(F.col("distances"), config.percentile))
-    long = long.withColumn("_ends", boundaries(F.col("distances"), F.col("_t"), n, config.min_sentences, config.max_sentences))
-    ends = F.col("_ends")
 
-    def part(end: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(ends[i - 1] + 1)
-        return F.array_join(F.slice("sentences", start + 1, end - start + 1), " ")
+    def parts(sentences: Column, ends: Column) -> Column:
+        def part(end: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.lit(0)).otherwise(ends[i - 1] + 1)
+            return F.array_join(F.slice(sentences, start + 1, end - start + 1), " ")
+
+        return F.transform(ends, part)
+
+    def scanned(s: Column, d: Column) -> Column:
+        threshold = percentile(d, config.percentile)
+        ends = let(threshold, lambda t: boundaries(d, t, F.size(s), config.min_sentences, config.max_sentences))
+        return let(ends, lambda e: parts(s, e))
 
-    return short.unionByName(numbered(long, F.transform(ends, part)))
+    cut = let(F.col("sentences"), lambda s: let(F.col("distances"), lambda d: scanned(s, d)))
+    return short.unionByName(numbered(long, cut))
 
 
 def chunk(df: DataFrame, config: ChunkConfig, embed: Embedder | None = None) -> DataFrame:
