@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.let import let
+
 # What ends a sentence and a clause, with closing marks that belong to it.
 _END = r"[.!?…。！？।॥؟۔]"
 _CLOSE = r"[\"'”’»」』）)\]]"
@@ -73,30 +75,23 @@ def _exact_overlap(size: Column, overlap: Column) -> Column:
 
 
 def with_config(chunks: DataFrame, configs: DataFrame) -> DataFrame:
-    """Adds size, strategy and overlap. Configurations are few; the default is a single row, found by one
-    aggregation and joined on a constant key, so nothing is crossed."""
-    c = configs.where(F.col("config_id").isNotNull() & (F.col("fixed_size") > 0)).select(
-        F.col("config_id").alias("_cid"),
-        F.struct("strategy", "fixed_size", "fixed_overlap", "sentence_window_overlap").alias("_c"),
-        F.coalesce("is_default", F.lit(False)).alias("_d"),
-    )
-    default = c.groupBy(F.lit(0).alias("_zero")).agg(F.min_by("_c", F.struct(~F.col("_d"), F.col("_cid"))).alias("_default"))
-    own = c.groupBy("_cid").agg(F.max("_c").alias("_c"))
-    out = chunks.withColumn("_zero", F.lit(0)).join(own, F.col("config_id") == F.col("_cid"), "left")
-    out = out.join(F.broadcast(default), "_zero", "left").withColumn("_cfg", F.coalesce("_c", "_default"))
-    fixed = F.col("_cfg.strategy") != "sentence_window"
+    """Adds size, overlap and by_sentence. The default configuration, one row, is read by the driver and becomes a
+    literal; the others are joined by their id. Without any usable configuration nothing can be cut: an error."""
+    fields = ("strategy", "fixed_size", "fixed_overlap", "sentence_window_overlap")
+    usable = configs.where(F.col("config_id").isNotNull() & (F.col("fixed_size") > 0))
+    first = usable.orderBy(F.coalesce("is_default", F.lit(False)).desc(), "config_id").select(*fields).limit(1).collect()
+    if not first:
+        raise ValueError("there is no configuration with a size")
+    kinds = {"strategy": "string"}
+    default = F.struct(*[F.lit(first[0][f]).cast(kinds.get(f, "int")).alias(f) for f in fields])
+    typed = F.struct(*[F.col(f).cast(kinds.get(f, "int")).alias(f) for f in fields])
+    own = usable.groupBy(F.col("config_id").alias("_cid")).agg(F.max(typed).alias("_c"))
+    out = chunks.join(own, F.col("config_id") == F.col("_cid"), "left").withColumn("_cfg", F.coalesce("_c", default))
+    by_sentence = F.coalesce(F.col("_cfg.strategy") == "sentence_window", F.lit(False))
     size = F.col("_cfg.fixed_size")
-    return (
-        out.withColumn("size", size)
-        .withColumn("by_sentence", ~fixed)
-        .withColumn(
-            "overlap",
-            F.when(fixed, _exact_overlap(size, F.col("_cfg.fixed_overlap"))).otherwise(
-                _exact_overlap(size, F.col("_cfg.sentence_window_overlap"))
-            ),
-        )
-        .drop("_zero", "_cid", "_c", "_default", "_cfg")
-    )
+    wanted = F.when(by_sentence, F.col("_cfg.sentence_window_overlap")).otherwise(F.col("_cfg.fixed_overlap"))
+    out = out.withColumn("size", size).withColumn("by_sentence", by_sentence).withColumn("overlap", _exact_overlap(size, wanted))
+    return out.drop("_cid", "_c", "_cfg")
 
 
 _SPAN = "ARRAY<STRUCT<start:INT,length:INT>>"
@@ -155,9 +150,11 @@ def pieces(chunks: DataFrame, configs: DataFrame, text: str = "text") -> DataFra
     size, overlap = F.col("size"), F.col("overlap")
     rest = F.when(F.col("by_sentence"), F.greatest((size / (overlap + 1)).cast("int"), F.lit(1))).otherwise(size - overlap)
     pattern = F.when(F.col("by_sentence"), _filled_in(_UNIT, b=rest)).otherwise(_filled_in(_BODY, a=size, b=rest))
-    rows = rows.withColumn("_parts", F.regexp_extract_all(F.col(text), pattern, F.lit(0)))
+    # What is within the size is one part as it is; no pattern has to be tried on it.
+    parts = F.when(F.length(text) <= size, F.array(F.col(text))).otherwise(F.regexp_extract_all(F.col(text), pattern, F.lit(0)))
+    rows = rows.withColumn("_parts", parts)
     rows = rows.withColumn("_spans", _spans(F.col("_parts"))).drop("_parts")
-    cut = F.when(F.col("by_sentence"), _packed(F.col("_spans"), size, overlap)).otherwise(_lookback(F.col("_spans"), overlap))
+    cut = F.when(F.col("by_sentence"), let(F.col("_spans"), lambda units: _packed(units, size, overlap))).otherwise(_lookback(F.col("_spans"), overlap))
     rows = rows.withColumn("_pieces", cut).drop("_spans")
     rows = rows.select("*", F.posexplode("_pieces").alias("piece_pos", "_s")).drop("_pieces")
     return (
