@@ -32,6 +32,8 @@ GROUP_ITEMS = 50_000
 #: A container filled to this part of its capacity stays closed after a round.
 FULL = 0.98
 ROUNDS = 2
+#: Container specs of one run.
+MAX_SPECS = 100
 
 
 class SumOfSquares:
@@ -111,15 +113,16 @@ def _packed(items: DataFrame, round_: int, group_items: int) -> DataFrame:
 
 
 def items_of(documents: DataFrame, specs: DataFrame) -> DataFrame:
-    """(spec_id, capacity, doc_id, part, tokens): every document's parts for every spec. The specs are joined
-    as an array that each document carries, of as many elements as there are specs."""
+    """(spec_id, capacity, doc_id, part, tokens): every document's parts for every spec. The specs become literals of
+    the plan, so at most ``MAX_SPECS`` are taken; more are an error."""
     listed = specs.where(F.col("spec_id").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity"))
-    every = listed.groupBy(F.lit(0).alias("_zero")).agg(F.collect_list(F.struct("spec_id", "capacity")).alias("specs"))
-    sized = documents.where(F.col("text").isNotNull()).select(
-        "doc_id", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.lit(0).alias("_zero")
-    )
-    rows = sized.join(F.broadcast(every), "_zero").select("doc_id", "size", F.explode("specs").alias("s"))
-    rows = rows.select("doc_id", "size", F.col("s.spec_id").cast("bigint").alias("spec_id"), F.col("s.capacity").cast("bigint").alias("capacity"))
+    found = listed.orderBy("spec_id").limit(MAX_SPECS + 1).collect()
+    if len(found) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} container specs")
+    kind = "ARRAY<STRUCT<spec_id:BIGINT,capacity:BIGINT>>"
+    every = F.array(*[F.struct(F.lit(int(r["spec_id"])).alias("spec_id"), F.lit(int(r["capacity"])).alias("capacity")) for r in found]).cast(kind)
+    sized = documents.where(F.col("text").isNotNull()).select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("size"))
+    rows = sized.select("doc_id", "size", F.explode(every).alias("s")).select("doc_id", "size", "s.spec_id", "s.capacity")
     parts = F.sequence(F.lit(0), (F.ceil(F.col("size") / F.col("capacity")) - 1).cast("int"))
     rows = rows.select("*", F.explode(parts).alias("part"))
     return rows.select(
