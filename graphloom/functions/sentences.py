@@ -17,7 +17,7 @@ def split_sentences(text: Column) -> Column:
 
 def sentence_spans(text: Column) -> Column:
     """Array of (start, end, sentence), 0-based half-open code points, trimmed."""
-    raw = F.regexp_extract_all(text, F.lit(rf"(?s).+?(?:[.!?](?=[{WHITE_SPACE}])|\z)"), F.lit(0))
+    raw = F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:[.!?](?=[{WHITE_SPACE}])|\z)"), F.lit(0))
     zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRUCT<start:INT,end:INT,sentence:STRING>>)").alias("out"))
 
     def step(acc: Column, part: Column) -> Column:

@@ -49,7 +49,7 @@ _LATEST = """latest AS (
 ), cur AS (SELECT chunk_id, file_id, pos, text FROM latest WHERE r = 1 AND NOT coalesce(is_deleted, false))"""
 
 _OFFSETS = f"""{_DOCS}, raw AS (
-  SELECT file_id, regexp_extract_all(text, '(?s).+?(?:[.!?]{_SPACE}|\\z)') AS p FROM docs
+  SELECT file_id, regexp_extract_all(text, '(?s).*?(?:[.!?]{_SPACE}|\\z)') AS p FROM docs
 ), flat AS (SELECT file_id, unnest(p) AS part, unnest(range(len(p))) AS i FROM raw),
 spans AS (
   SELECT file_id, i, part, {_strip('part')} AS sentence,
