@@ -33,8 +33,8 @@ from graphloom.session import cut, task_count
 BUCKET_ROWS = 100_000
 #: Keys that the trie of an input partition holds before it is emptied.
 TRIE_KEYS = 100_000
-#: Bytes by which a bucket's prefix grows at each split.
-STRIDE = 3
+#: Bytes of a bucket's first prefix; each split doubles them.
+STRIDE = 4
 
 COUNTS = T.StructType(
     [
@@ -129,32 +129,27 @@ def _count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def radix_buckets(partial: DataFrame, bucket_rows: int = BUCKET_ROWS, stride: int = STRIDE) -> DataFrame:
-    """``partial`` with a column ``bucket``: the shortest prefix of ``record``, in steps of ``stride`` bytes,
-    that at most ``bucket_rows`` rows share, or all of ``record`` where that is shorter.
+    """``partial`` with a column ``bucket``: the shortest prefix of ``record``, of ``stride`` bytes or twice as many
+    each time, that at most ``bucket_rows`` rows share, or all of ``record`` where that is shorter.
 
     Only counts per prefix are shuffled; the driver learns nothing but whether a level has any bucket to
-    split. The oversized prefixes of a level number at most rows / bucket_rows.
+    split. The oversized prefixes of a level number at most rows / bucket_rows. Rows of buckets that fit leave;
+    the others are written out before they are split further, so plans stay short.
     """
-    raw = F.encode("record", "UTF-8")
-    out = partial.withColumn("bucket", F.lit(None).cast("binary"))
-    depth = 0
+    open_, settled, depth = partial, None, stride
     while True:
-        depth += stride
-        prefix = F.substring(raw, 1, depth)
-        big = (
-            out.where(F.col("bucket").isNull())
-            .groupBy(prefix.alias("_prefix"))
-            .agg(F.count(F.lit(1)).alias("_n"), F.max(F.length(raw)).alias("_longest"))
-            .where((F.col("_n") > bucket_rows) & (F.col("_longest") > depth))
-            .select("_prefix")
-        )
-        big = cut(big)
-        if big.isEmpty():
-            return out.withColumn("bucket", F.coalesce("bucket", prefix))
-        marked = big.withColumn("_big", F.lit(True))
-        out = out.join(marked, F.col("bucket").isNull() & (prefix == F.col("_prefix")), "left")
-        out = out.withColumn("bucket", F.when(F.col("bucket").isNull() & F.col("_big").isNull(), prefix).otherwise(F.col("bucket")))
-        out = out.drop("_prefix", "_big")
+        rows = open_.withColumn("bucket", F.substring(F.encode("record", "UTF-8"), 1, depth))
+        longer = F.octet_length("record") > depth
+        counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.max(longer).alias("_longer"))
+        big = cut(counts.where((F.col("_n") > bucket_rows) & F.col("_longer")).select("bucket"))
+        last = big.isEmpty()
+        done = rows if last else rows.join(big, "bucket", "left_anti")
+        done = done.select("record", "copies", "first_id", "bucket")
+        settled = done if settled is None else settled.unionByName(done)
+        if last:
+            return settled
+        open_ = cut(rows.join(big, "bucket", "left_semi").select("record", "copies", "first_id"))
+        depth *= 2
 
 
 def collapse(records: DataFrame, bucket_rows: int = BUCKET_ROWS, stride: int = STRIDE) -> DataFrame:

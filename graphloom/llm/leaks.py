@@ -201,12 +201,13 @@ class _Shard:
             return
         if self.words and self.words + len(found) > self.limit:
             yield from self.flush()
+        held = (doc_id, text)
         for at in range(0, len(found) - self.size + 1, self.limit - self.size + 1):
             part = found[at : at + self.limit]
             ids = self.ids
             numbers = np.array([ids.setdefault(w, len(ids) + 1) for w in part], dtype=np.int64)
-            if not at or self.words:
-                self.docs.append((doc_id, text))
+            if not self.docs or self.docs[-1] is not held:
+                self.docs.append(held)
             self.origin.append((len(self.docs) - 1, at))
             self.sections.append(numbers)
             self.words += len(part)

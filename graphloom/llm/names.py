@@ -128,7 +128,7 @@ def letter_bags(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for c in form:
             counts[i, _LETTERS.get(c, kinds - 1)] += 1
     unary = counts[:, :, None] > np.arange(_REPEATS)
-    return unary.reshape(len(forms), -1).astype(np.float32), np.maximum(counts - _REPEATS, 0).sum(axis=1)
+    return unary.reshape(len(forms), kinds * _REPEATS).astype(np.float32), np.maximum(counts - _REPEATS, 0).sum(axis=1)
 
 
 class BKTree:

@@ -8,7 +8,8 @@ its sentences is about.
 
 A sentence takes over the labels of its document. Words that occur with any subject then earn no weight, wrong
 labels average out, and rounds end before single documents are learnt by heart (``ROUNDS``). A sentence is
-about a subject when its output is above ``SURE``; a document, when at least ``SHARE`` of its sentences are and
+about a subject when its output is more than half-way from the subject's rate among training sentences to
+certainty; a document, when at least ``SHARE`` of its sentences are and
 there are two of them, or half of them are.
 
 Training takes at most ``LABELLED`` labelled documents, chosen by a hash of doc_id. Held-out agreement is given in the
@@ -68,11 +69,12 @@ def units(text: str | None) -> list[list[str]]:
 
 @dataclass
 class Params:
-    """Embeddings (BUCKETS, WIDTH), outputs (WIDTH, subjects) and biases."""
+    """Embeddings (BUCKETS, WIDTH), outputs (WIDTH, subjects), biases, and the subjects' rates in training."""
 
     embed: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    rates: np.ndarray
 
     @classmethod
     def start(cls, subjects: int, seed: int = 3) -> Params:
@@ -81,6 +83,7 @@ class Params:
             rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32),
             rng.normal(0, 0.3, (WIDTH, subjects)).astype(np.float32),
             np.full(subjects, -2.0, dtype=np.float32),
+            np.zeros(subjects, dtype=np.float32),
         )
 
     def arrays(self) -> list[np.ndarray]:
@@ -161,7 +164,6 @@ LABELLED = 20_000
 PACKS = 6
 ROUNDS = 22
 RATE = 0.1
-SURE = 0.5
 SHARE = 0.18
 #: Words whose scores a scoring task keeps at hand.
 KNOWN_WORDS = 200_000
@@ -220,7 +222,8 @@ def _summer(shared, subjects: int):
         for batch in batches:
             for _, row in batch.iterrows():
                 packed = _unpacked(row, subjects)
-                flat = np.concatenate([g.ravel() for g in gradient(shared.value, packed)[0]])
+                grads = gradient(shared.value, packed)[0]
+                flat = np.concatenate([*[g.ravel() for g in grads], packed["label"].sum(axis=0)])
                 total = flat if total is None else total + flat
                 rows += len(packed["words"])
         if total is not None:
@@ -251,6 +254,7 @@ def train(rows: DataFrame, subjects: int, rounds: int = ROUNDS) -> Params | None
         del sums[1:]
         flat = flat / sums[0]["rows"]
         ends = np.cumsum([p.size for p in params.arrays()])[:-1]
+        flat, params.rates = flat[:-subjects], flat[-subjects:]
         adam.step(params, [g.reshape(p.shape) for g, p in zip(np.split(flat, ends), params.arrays(), strict=True)])
         shared.destroy()
     return params
@@ -262,6 +266,8 @@ class Scorer:
     def __init__(self, params: Params) -> None:
         self.bucket = params.embed @ params.out
         self.bias = params.bias
+        sure = (1 + params.rates.clip(0, 0.999)) / 2
+        self.least = np.log(sure / (1 - sure))
         self.known: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
 
@@ -283,7 +289,7 @@ class Scorer:
         table = np.array([self.rows[self._number(w)] for s in sentences for w in s])
         sums = np.add.reduceat(table, _offsets(np.array([len(s) for s in sentences])), axis=0)
         z = sums[:, :-1] / sums[:, -1:] + self.bias
-        return (z > np.log(SURE / (1 - SURE))).sum(axis=0), len(sentences)
+        return (z > self.least).sum(axis=0), len(sentences)
 
 
 def about(counts: np.ndarray, sentences: int) -> np.ndarray:
