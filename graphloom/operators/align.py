@@ -5,33 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.let import let
 from graphloom.functions.text import WHITE_SPACE, collapse_space
 
 
-def _pieces(text: Column) -> Column:
-    """Tokens of ``text`` (runs of no white space) as (source start, start in the collapsed text)."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{WHITE_SPACE}]+|[^{WHITE_SPACE}]+"), F.lit(0))
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("flat"), F.expr("CAST(array() AS ARRAY<STRUCT<s:INT,c:INT>>)").alias("out")
-    )
-
-    def step(acc: Column, run: Column) -> Column:
-        blank = run.rlike(f"^[{WHITE_SPACE}]")
-        n = F.length(run)
-        one = F.struct(acc["at"].alias("s"), acc["flat"].alias("c"))
-        return F.struct(
-            (acc["at"] + n).alias("at"),
-            F.when(blank, acc["flat"]).otherwise(acc["flat"] + n + 1).alias("flat"),
-            F.when(blank, acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"),
-        )
-
-    return F.aggregate(runs, zero, step, lambda acc: acc["out"])
-
-
-def _source_offset(tokens: Column, words_before: Column, at: Column) -> Column:
-    """The source offset of collapsed position ``at``, which lies in the token after ``words_before`` others."""
-    token = tokens[words_before]
-    return token["s"] + (at - token["c"])
+def _source_offset(runs: Column, flat: Column, at: Column) -> Column:
+    """The source offset of position ``at`` of the collapsed text ``flat``, which is not white space. ``runs`` are the
+    source's runs of white space and of other characters, in turn; words before ``at`` tell the run."""
+    words = F.length(flat.substr(F.lit(1), at)) - F.length(F.replace(flat.substr(F.lit(1), at), F.lit(" "), F.lit("")))
+    before = 2 * words + F.when(runs[0].rlike(f"^[{WHITE_SPACE}]"), 1).otherwise(0)
+    start = F.length(F.array_join(F.slice(runs, F.lit(1), before), ""))
+    # The collapsed start of the same word: what follows the last blank before ``at``.
+    inside = F.length(F.regexp_extract(flat.substr(F.lit(1), at), "[^ ]*$", 0))
+    return start + inside
 
 
 def locate(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -46,17 +32,16 @@ def locate(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     status = F.when(F.col("_p") == 0, "missing").when(again > 0, "ambiguous").otherwise("ok")
     rows = rows.withColumn("status", status)
     found = rows.where(F.col("status") == "ok")
-    # The tokens are worked out for the chunks found, once per row.
-    found = found.withColumn("_t", _pieces(F.col("_source")))
-    head = F.substring(F.col("_flat"), F.lit(1), F.col("_p") - 1)
-    last = F.col("_p") - 1 + F.length("_sub") - 1
-    until = F.substring(F.col("_flat"), F.lit(1), last)
-
-    def words(c: Column) -> Column:
-        return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-
-    found = found.withColumn("char_start", _source_offset(F.col("_t"), words(head), F.col("_p") - 1))
-    found = found.withColumn("char_end", _source_offset(F.col("_t"), words(until), last) + 1)
+    runs = F.regexp_extract_all(F.col("_source"), F.lit(f"[{WHITE_SPACE}]+|[^{WHITE_SPACE}]+"), F.lit(0))
+    first_at, last_at = F.col("_p") - 1, F.col("_p") - 2 + F.length("_sub")
+    place = let(
+        runs,
+        lambda r: F.struct(
+            _source_offset(r, F.col("_flat"), first_at).alias("start"), (_source_offset(r, F.col("_flat"), last_at) + 1).alias("end")
+        ),
+    )
+    found = found.withColumn("_place", place)
+    found = found.withColumn("char_start", F.col("_place.start")).withColumn("char_end", F.col("_place.end"))
     columns = ["chunk_id", "file_id", "status", "char_start", "char_end"]
     none = F.lit(None).cast("int")
     rest = rows.where(F.col("status") != "ok").withColumn("char_start", none).withColumn("char_end", none)
