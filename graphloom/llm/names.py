@@ -41,6 +41,8 @@ SHARD_ENTRIES = 20_000
 THRESHOLD = 2
 #: Forms that walk the tree together; bounds the memory of a walk.
 BLOCK = 4096
+#: Forms times entries of one walk.
+BLOCK_CELLS = 8_000_000
 
 # Words set aside before comparing.
 TITLES = {
@@ -132,27 +134,34 @@ def letter_bags(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BKTree:
-    """Entries by their distances: every entry below edge e of a node is at distance e from the node."""
+    """Entries by their distances: every entry below edge e of a node is at distance e from the node.
+
+    A node is [form, names, children by distance, its place in preorder, the place after its subtree].
+    """
 
     def __init__(self, entries: list[tuple[str, str]]) -> None:
         names: dict[str, set[str]] = {}
         for form, name in entries:
             names.setdefault(form, set()).add(name)
-        self.root = self._node(names) if names else None
-        self.bags, self.spare = letter_bags(list(names))
-        self.sizes = np.array([len(f) for f in names], dtype=np.int64)
-
-    def _possible(self, forms: list[str], limit: np.ndarray) -> np.ndarray:
-        """False for a form that no entry can be near: an edit changes at most one letter, so the larger
-        length less the common letters bounds the distance from below. Loses nothing."""
-        bags, spare = letter_bags(forms)
-        common = bags @ self.bags.T + np.minimum(spare[:, None], self.spare[None, :])
-        sizes = np.array([len(f) for f in forms], dtype=np.int64)
-        return (np.maximum(sizes[:, None], self.sizes[None, :]) - common <= limit[:, None]).any(axis=1)
-
-    def _node(self, names: dict[str, set[str]]) -> list:
-        """[form, names, children by distance]; a node's whole subtree is measured in one call."""
-        root = [next(iter(names)), None, {}]
+        self.root = self._build(names) if names else None
+        order: list[str] = []
+        stack = [(self.root, False)] if self.root else []
+        while stack:
+            node, left = stack.pop()
+            if left:
+                node[4] = len(order)
+                continue
+            node[3] = len(order)
+            order.append(node[0])
+            stack.append((node, True))
+            stack.extend((child, False) for child in node[2].values())
+        self.bags, self.spare = letter_bags(order)
+        self.sizes = np.array([len(f) for f in order], dtype=np.int64)
+
+    @staticmethod
+    def _build(names: dict[str, set[str]]) -> list:
+        """A node's whole subtree is measured in one call."""
+        root: list = ["", set(), {}, 0, 0]
         todo = [(root, list(names))]
         while todo:
             node, forms = todo.pop()
@@ -165,21 +174,34 @@ class BKTree:
             for form, far in zip(rest, distances(node[0], codes, lengths, alphabet).tolist(), strict=True):
                 below.setdefault(far, []).append(form)
             for far, group in below.items():
-                child = [group[0], None, {}]
+                child: list = ["", set(), {}, 0, 0]
                 node[2][far] = child
                 todo.append((child, group))
         return root
 
+    def _possible(self, forms: list[str], limit: np.ndarray) -> np.ndarray:
+        """For each form, how many entries before each place of the preorder it may be near. An edit changes
+        at most one letter, so the larger length less the common letters bounds the distance from below."""
+        bags, spare = letter_bags(forms)
+        common = bags @ self.bags.T + np.minimum(spare[:, None], self.spare[None, :])
+        sizes = np.array([len(f) for f in forms], dtype=np.int64)
+        near = np.maximum(sizes[:, None], self.sizes[None, :]) - common <= limit[:, None]
+        return np.concatenate((np.zeros((len(forms), 1), dtype=np.int32), np.cumsum(near, axis=1, dtype=np.int32)), axis=1)
+
     def within(self, forms: list[str], most: list[int]) -> list[list[tuple[int, str, str]]]:
-        """For each form every (distance, entry, name) within its threshold. All forms walk the tree
-        together: a node is compared at once with those forms that the triangle inequality leaves to it."""
+        """For each form every (distance, entry, name) within its threshold. All forms walk the tree together: a
+        node is compared at once with those forms that the triangle inequality leaves to it, and that some entry
+        below it may be near by its letters. Both tests lose nothing."""
         found: list[list[tuple[int, str, str]]] = [[] for _ in forms]
         if self.root is None:
             return found
         order = sorted(range(len(forms)), key=lambda i: len(forms[i]))
-        for start in range(0, len(order), BLOCK):
-            block = np.array(order[start : start + BLOCK])
-            block = block[self._possible([forms[i] for i in block], np.array([most[i] for i in block]))]
+        size = max(64, min(BLOCK, BLOCK_CELLS // len(self.sizes)))
+        for start in range(0, len(order), size):
+            block = np.array(order[start : start + size])
+            before = self._possible([forms[i] for i in block], np.array([most[i] for i in block]))
+            some = before[:, -1] > 0
+            block, before = block[some], before[some]
             if not len(block):
                 continue
             codes, lengths, alphabet = encoded([forms[i] for i in block])
@@ -191,7 +213,8 @@ class BKTree:
                 for x in np.flatnonzero(far <= limit[live]):
                     found[block[live[x]]].extend((int(far[x]), node[0], name) for name in node[1])
                 for edge, child in node[2].items():
-                    left = live[np.abs(far - edge) <= limit[live]]
+                    below = before[live, child[4]] > before[live, child[3]]
+                    left = live[(np.abs(far - edge) <= limit[live]) & below]
                     if len(left):
                         stack.append((child, left))
         return found
