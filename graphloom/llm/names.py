@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from graphloom.functions.text import fold_words, is_blank
 from graphloom.operators.skew import lookup
-from graphloom.session import task_count
+from graphloom.session import cut, task_count
 
 NONE = "(none)"
 #: Entries of one shard. A reference list within it is one shard; a longer one becomes several.
@@ -337,7 +337,7 @@ def match_names(names: DataFrame, entries: DataFrame, shard_entries: int = SHARD
             for batch in batches:
                 yield pd.DataFrame({"name": batch["name"], "canonical": [nearest(f) for f in matcher.candidates(list(batch["name"]))]})
 
-        return names.repartition(task_count(spark), "name").mapInPandas(probe, "name string, canonical string")
+        return names.repartition(task_count(spark)).mapInPandas(probe, "name string, canonical string")
     listed = entries.withColumn("shard", F.pmod(F.xxhash64("spelling"), F.lit(shards)).cast("int"))
     probes = names.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     # Names meet a shard in blocks, so that no task holds more than one shard and one block's names.
@@ -363,5 +363,6 @@ def map_names(entities: DataFrame, canonical: DataFrame, shard_entries: int = SH
     """(row_id, canonical) of every row with a name that is not blank. Each spelling is looked up once."""
     rows = entities.select("row_id", "name").where(~is_blank(F.col("name")))
     weights = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    matched = match_names(weights.select("name"), reference_entries(canonical), shard_entries)
+    # One row per spelling, written out: it is read for the heavy spellings and for the rest.
+    matched = cut(match_names(weights.select("name"), reference_entries(canonical), shard_entries))
     return lookup(rows, matched, ["name"], ["canonical"], F.col("row_id"), weights).select("row_id", "canonical").distinct()
