@@ -35,7 +35,7 @@ from graphloom.session import cut, task_count
 
 #: Vectors that the centroids and codebooks are fitted on.
 SAMPLE = 32_768
-PROBES = 8
+PROBES = 10
 SHORTLIST = 128
 PARTS = 32
 CODEWORDS = 256
