@@ -50,3 +50,13 @@ def task_count(spark: SparkSession) -> int:
     """Partitions for stages whose cost is in Python and not in bytes: adaptive coalescing, which goes by
     bytes, would leave such a stage to a few tasks. A repartition by number is not coalesced."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the session's own path does not lead to it. On a cluster the
+    path has to be shared, or the package given with ``--py-files``."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])

@@ -51,3 +51,12 @@ def test_core_does_not_import_the_subpackage():
             if f.endswith(".py"):
                 text = open(os.path.join(folder, f)).read()
                 assert "graphloom.llm" not in text, f
+
+
+def test_workers_find_the_package(spark):
+    query = entry.queries()["doc_sha256"]
+    spark.sparkContext.environment.pop("PYTHONPATH", None)
+    query(spark, FOLDER)
+    query(spark, FOLDER)
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    assert spark.sparkContext.environment["PYTHONPATH"] == root
