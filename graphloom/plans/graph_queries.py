@@ -143,7 +143,8 @@ def knn_topk_restricted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    keys = spark.createDataFrame([("0",), ("50",), ("no such id",)], "id string")
+    """The query set's vectors, and an id that has none."""
+    keys = _asked(spark, folder).select(F.col("qid").alias("id")).union(spark.createDataFrame([("no such id",)], "id string"))
     found = topk.get_vector(_vectors(spark, folder), keys)
     return found.select("id", F.coalesce(F.size("vec"), F.lit(0)).alias("size"), F.round(F.col("vec")[0].cast("double"), 6).alias("head"))
 
@@ -232,7 +233,7 @@ def rerank_two_stage(spark: SparkSession, folder: str) -> DataFrame:
 def context_lines(spark: SparkSession, folder: str) -> DataFrame:
     index = _index(spark, folder)
     trace = retrieval.retrieve(_questions(spark, folder), index, ["global"], RETRIEVAL)
-    return retrieval.context_lines(trace, index).where(F.col("kind") != "entity").select("qid", "kind", "rank", "line")
+    return retrieval.context_lines(trace, index).select("qid", "kind", "rank", "line")
 
 
 def json_extract_props(spark: SparkSession, folder: str) -> DataFrame:

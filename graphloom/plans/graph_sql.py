@@ -269,7 +269,7 @@ FROM gold_questions q LEFT JOIN p USING (id) GROUP BY q.id""",
 FROM (SELECT qid, id, list_cosine_similarity(q, v) AS s FROM asked, vecs) QUALIFY rank <= 5""",
     "knn_topk_restricted": f"""WITH {_VEC} SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS INT) AS rank, round(s, 6) AS score
 FROM (SELECT qid, id, list_cosine_similarity(q, v) AS s FROM asked a JOIN vecs b ON a.label = b.label) QUALIFY rank <= 5""",
-    "vector_lookup": f"""WITH {_VEC}, k AS (SELECT unnest(['0', '50', 'no such id']) AS id)
+    "vector_lookup": f"""WITH {_VEC}, k AS (SELECT qid AS id FROM asked UNION ALL SELECT 'no such id')
 SELECT id, CAST(coalesce(len(v), 0) AS INT) AS size, round(v[1], 6) AS head FROM k LEFT JOIN vecs USING (id)""",
     "entity_merge": f"WITH {_ENT} SELECT file_id, name, type, description, source_id FROM ent",
     "relation_merge": f"WITH {_REL} SELECT file_id, rel_key, source, target, array_to_string(keywords, ',') AS keywords, description, source_id FROM rel",
@@ -299,6 +299,11 @@ SELECT qid, 'hybrid' AS mode, kind, CAST(row_number() OVER (PARTITION BY qid, ki
     "rerank_two_stage": f"""WITH {_INDEX}, {_top('found', 'en', 5)},
 near AS (SELECT DISTINCT f.qid, r.id FROM found f JOIN en USING (id) JOIN rn r ON r.file_id = en.file_id), {_rerank('out_', 'near')}
 SELECT qid, id, rank, CAST(r1 AS INT) AS r1, round(rerank, 6) AS rerank FROM out_""",
+    "context_lines": f"""WITH {_INDEX}, {_GLOBAL}
+SELECT qid, 'entity' AS kind, rank, CAST(json_object('name', e.name, 'type', e.type, 'description', e.description) AS VARCHAR) AS line
+FROM gends g JOIN ent e ON g.id = e.file_id || ':' || e.name
+UNION ALL SELECT qid, 'relation', rank, CAST(json_object('source', source, 'target', target, 'keywords', keywords, 'description', description) AS VARCHAR) FROM grel JOIN rn USING (id)
+UNION ALL SELECT qid, 'chunk', rank, CAST(json_object('content', text) AS VARCHAR) FROM gchk g JOIN cur c ON g.id = c.chunk_id""",
     "json_extract_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "parse_entities": f"""WITH {_LATEST}, n AS (SELECT chunk_id, regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b') AS a FROM cur),
 f AS (SELECT chunk_id, unnest(a) AS name, unnest(range(len(a))) AS i FROM n), d AS (SELECT chunk_id, name, min(i) AS i FROM f GROUP BY ALL)
