@@ -30,6 +30,11 @@ from graphloom.functions.let import let
 # What ends a sentence and a clause, with closing marks that belong to it.
 _END = r"[.!?…。！？।॥؟۔]"
 _CLOSE = r"[\"'”’»」』）)\]]"
+# Stops that belong to an abbreviation or an initial, in the languages of the chunks.
+_NO_END = (
+    r"(?<![^\p{L}]\p{L}\.\s{1,9})"
+    r"(?<![^\p{L}](?:Mrs|Mr|Ms|Messrs|Dr|Prof|Capt|St|No|vol|ver|approx|etc|Esq|Co|Sra|Sr|Mme|डॉ)\.\s{1,9})"
+)
 _CLAUSE = r"[,;:—–、，；：،]"
 
 
@@ -39,7 +44,7 @@ def _ladder(most: str, least: str) -> str:
     return "|".join(
         [
             rf"{room}(?<=\n\s{{0,9}}\n)",
-            rf"{room}(?<={_END}{_CLOSE}{{0,3}}\s{{1,9}})",
+            rf"{room}(?<={_END}{_CLOSE}{{0,3}}\s{{1,9}}){_NO_END}",
             rf"{room}(?<=[。！？।]{_CLOSE}{{0,3}})(?!{_CLOSE})",
             rf"{room}(?<={_CLAUSE}\s{{1,9}}|[、，；：])",
             rf"{room}(?<=\s)(?!\s)",
@@ -56,7 +61,7 @@ _BODY = (
 )
 # One unit: the shortest that ends as a sentence or paragraph does, else a cut within the limit <b>.
 _UNIT = (
-    rf"(?s).{{1,<b>}}?(?:(?<=\n\s{{0,9}}\n)(?!\s)|(?<={_END}{_CLOSE}{{0,3}}\s{{1,9}})(?!\s)|(?<=[。！？।]{_CLOSE}{{0,3}})(?![\s\"'”’»」』）)]|\])|\z)|"
+    rf"(?s).{{1,<b>}}?(?:(?<=\n\s{{0,9}}\n)(?!\s)|(?<={_END}{_CLOSE}{{0,3}}\s{{1,9}}){_NO_END}(?!\s)|(?<=[。！？।]{_CLOSE}{{0,3}})(?![\s\"'”’»」』）)]|\])|\z)|"
     + _ladder("<b>", "<b2>")
 )
 
