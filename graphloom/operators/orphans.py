@@ -1,7 +1,10 @@
 """References to records that do not exist: pending-orphan state, kept incrementally.
 
-The state is two keyed tables. ``parents`` has one row per live version of a parent key (and one per
-deleted version, so that the cause can be told); ``refs`` has every reference seen, with its standing.
+The state is three keyed tables. ``parents`` has one row per live version of a parent key (and one per
+deleted version, so that the cause can be told); ``refs`` has every reference seen, with its standing;
+``gone`` has the versions (key, loaded_at) that deletions withdrew, so that a withdrawn version stays so when
+it is delivered in the same step, later, or again. A version that arrives with ``live`` false is a row of its
+own, as in the SQL of p5_found: it withdraws no other row; only deletions do.
 A step takes new parents, new references and deletions, and touches only the keys that occur in them:
 new references probe the parent index, arriving parents resolve the references that wait for them, and
 deletions reopen references that lose their last early enough parent. One step from the empty state over
@@ -53,16 +56,20 @@ STANDING = T.StructType(
 )
 
 
+GONE = T.StructType([T.StructField("key", T.StringType()), T.StructField("loaded_at", T.TimestampNTZType())])
+
+
 @dataclass
 class OrphanState:
-    """``parents`` (see PARENTS) and ``refs`` (see STANDING)."""
+    """``parents`` (see PARENTS), ``refs`` (see STANDING) and ``gone`` (see GONE)."""
 
     parents: DataFrame
     refs: DataFrame
+    gone: DataFrame
 
     @classmethod
     def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(spark.createDataFrame([], PARENTS), spark.createDataFrame([], STANDING))
+        return cls(*[spark.createDataFrame([], schema) for schema in (PARENTS, STANDING, GONE)])
 
 
 def _index(parents: DataFrame) -> DataFrame:
@@ -92,24 +99,23 @@ def advance(
     parents = parents.select("key", "loaded_at", "live").distinct()
     refs = refs.select(*[f.name for f in REFS.fields]).distinct()
     if state is None and deletions is None:
-        return OrphanState(parents, _probe(refs, parents))
+        return OrphanState(parents, _probe(refs, parents), parents.sparkSession.createDataFrame([], GONE))
     state = state or OrphanState.empty(parents.sparkSession)
     touched = parents.select("key").union(refs.select("key"))
-    kept = state.parents
+    gone = state.gone
     if deletions is not None:
-        gone = deletions.select("key", "loaded_at").distinct()
-        touched = touched.union(gone.select("key"))
-        # A withdrawn version stays known, but no longer serves.
-        kept = kept.join(gone.withColumn("_gone", F.lit(True)), ["key", "loaded_at"], "left")
-        kept = kept.select("key", "loaded_at", (F.col("live") & F.col("_gone").isNull()).alias("live"))
+        gone = gone.union(deletions.select("key", "loaded_at")).distinct()
+        touched = touched.union(deletions.select("key"))
     touched = touched.where(F.col("key").isNotNull()).distinct()
-    merged = kept.union(parents).distinct()
+    # A withdrawn version stays known, but no longer serves.
+    merged = state.parents.union(parents).join(gone.withColumn("_gone", F.lit(True)), ["key", "loaded_at"], "left")
+    merged = merged.select("key", "loaded_at", (F.col("live") & F.col("_gone").isNull()).alias("live")).distinct()
     again = state.refs.join(touched, "key", "left_semi").select(*[f.name for f in REFS.fields])
     same = state.refs.join(touched, "key", "left_anti").select(*[f.name for f in STANDING.fields])
     index_part = merged.join(touched, "key", "left_semi")
     moved = _probe(again.unionByName(refs).distinct(), index_part)
     out = same.unionByName(moved.select(*[f.name for f in STANDING.fields])).distinct()
-    return OrphanState(cut(merged), cut(out)) if materialise else OrphanState(merged, out)
+    return OrphanState(cut(merged), cut(out), cut(gone)) if materialise else OrphanState(merged, out, gone)
 
 
 def is_orphan() -> F.Column:

@@ -107,3 +107,31 @@ def test_streaming_state_equals_batch(spark, tmp_path):
     query, held = track_orphans(stream, split, lambda snap, n: seen.append(snap.count()), f"{tmp_path}/check")
     query.awaitTermination(120)
     assert standing(held[0]) == {2: "missing"} and len(seen) >= 1
+
+
+def test_streaming_state_outlives_a_run_and_takes_deletions(spark, tmp_path):
+    from graphloom.streaming.incremental import track_orphans
+
+    schema = "kind string, row_id long, key string, loaded_at timestamp_ntz"
+
+    def split(batch):
+        p = batch.where("kind = 'p'").select("key", "loaded_at", F.lit(True).alias("live"))
+        r = batch.where("kind = 'r'").select(F.lit("t").alias("ref_table"), F.lit("f").alias("ref_field"), "row_id", F.col("key").alias("ref_key"), "key", "loaded_at")
+        return p, r, batch.where("kind = 'd'").select("key", "loaded_at")
+
+    def run(name, rows):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        counts = []
+        query, held = track_orphans(stream, split, lambda snap, n: counts.extend(r["refs"] for r in snap.collect()), f"{tmp_path}/check")
+        query.awaitTermination(120)
+        return standing(held[0]), counts
+
+    assert run("a", [("p", 0, "a", at(1)), ("r", 1, "b", at(3))]) == ({1: "missing"}, [1])
+    # A parent of an earlier run serves, an orphan of an earlier run is resolved, and snapshots count all runs.
+    assert run("b", [("r", 2, "a", at(3)), ("p", 0, "b", at(2))]) == ({}, [2])
+    assert run("c", [("d", 0, "a", at(1)), ("d", 0, "c", at(1)), ("p", 0, "c", at(1)), ("r", 3, "c", at(4))]) == ({2: "deleted", 3: "deleted"}, [3])
+    # Nothing new: the state of the earlier runs is there all the same. A withdrawn version may be delivered again.
+    assert run("d", [])[0] == {2: "deleted", 3: "deleted"}
+    assert run("e", [("p", 0, "a", at(1))]) == ({2: "deleted", 3: "deleted"}, [3])
