@@ -9,10 +9,11 @@ boundary that lies in its second half: paragraph, sentence, clause, word, else a
 mark follows, else any character. Each piece but the first begins ``fixed_overlap`` code points before its
 body, so consecutive pieces share exactly that much.
 
-*sentence window* overlap. Sentences (cut in the same way when longer than size / (overlap + 1)) are packed
-greedily into pieces within the size; each piece but the first begins with the last
-``sentence_window_overlap`` sentences of the one before. As no unit is longer than size / (overlap + 1), the
-shared ones and one more always fit.
+*sentence window* overlap. Whole sentences are packed greedily into pieces within the size; only a sentence
+longer than the size is cut, in the same way, into parts of at most size / (overlap + 1), which then count as
+sentences. Each piece but the first begins with the last ``sentence_window_overlap`` sentences of the one
+before. Where these and the next sentence exceed the size, it begins with as many of them as fit; where not even
+the last one fits, with the words at its end that do; and before a sentence that fills the size, with none.
 
 Positions and lengths are code points. Defined cases: a null or empty text gives no piece; a text within the
 size gives one; a null or unknown config_id means the default configuration; an overlap that is null or not
@@ -59,9 +60,9 @@ def _ladder(most: str, least: str) -> str:
 _BODY = (
     r"(?s)\A.{1,<a>}\z|\A(?:" + _ladder("<a>", "<a2>") + r")|(?!\A)(?:.{1,<b>}\z|" + _ladder("<b>", "<b2>") + ")"
 )
-# One unit: the shortest that ends as a sentence or paragraph does, else a cut within the limit <b>.
+# One unit: the shortest within the size <a> that ends as a sentence or paragraph does, else a cut within the limit <b>.
 _UNIT = (
-    rf"(?s).{{1,<b>}}?(?:(?<=\n\s{{0,9}}\n)(?!\s)|(?<={_END}{_CLOSE}{{0,3}}\s{{1,9}}){_NO_END}(?!\s)|(?<=[。！？।]{_CLOSE}{{0,3}})(?![\s\"'”’»」』）)]|\])|\z)|"
+    rf"(?s).{{1,<a>}}?(?:(?<=\n\s{{0,9}}\n)(?!\s)|(?<={_END}{_CLOSE}{{0,3}}\s{{1,9}}){_NO_END}(?!\s)|(?<=[。！？।]{_CLOSE}{{0,3}})(?![\s\"'”’»」』）)]|\])|\z)|"
     + _ladder("<b>", "<b2>")
 )
 
@@ -124,26 +125,41 @@ def _lookback(spans: Column, overlap: Column) -> Column:
     )
 
 
-def _packed(units: Column, size: Column, overlap: Column) -> Column:
-    """Greedy windows of consecutive units within ``size``, sharing ``overlap`` units."""
-    zero = F.struct(
-        F.lit(0).alias("first"), F.lit(0).alias("room"), F.lit(0).alias("i"), F.expr(f"CAST(array() AS {_SPAN})").alias("spans")
-    )
+# What of a sentence's end, with the character before it, cannot begin a piece: the rest of a word, or of a character.
+_TORN = r"(?s)\A(?:\S*\s+(?=\S)|.[\p{M}\x{200d}]*(?=.))"
+
+
+def _tail(text: Column, low: Column, end: Column) -> Column:
+    """Where the words of text[low:end] begin; ``low`` is not 0. Without a space, where its characters do."""
+    return end - F.least(end - low, F.length(F.regexp_replace(F.substring(text, low, end - low + 1), _TORN, "")))
+
+
+def _packed(units: Column, size: Column, overlap: Column, text: Column) -> Column:
+    """Greedy windows of consecutive units within ``size``, sharing ``overlap`` units or what fits of them."""
+    zero = F.struct(F.lit(0).alias("head"), F.lit(0).alias("room"), F.lit(0).alias("i"), F.expr(f"CAST(array() AS {_SPAN})").alias("spans"))
 
     def step(acc: Column, u: Column) -> Column:
         fits = acc["room"] + u["length"] <= size
-        head = units[acc["first"]]["start"]
-        first = F.when(fits, acc["first"]).otherwise(F.greatest(acc["i"] - overlap, F.lit(0)))
-        done = F.array_append(acc["spans"], F.struct(head.alias("start"), acc["room"].alias("length")))
-        return F.struct(
-            first.alias("first"),
-            F.when(fits, acc["room"] + u["length"]).otherwise(u["start"] + u["length"] - units[first]["start"]).alias("room"),
-            (acc["i"] + 1).alias("i"),
-            F.when(fits, acc["spans"]).otherwise(done).alias("spans"),
+        # Units before ``low`` would not leave room for this one; all of them lie behind the head.
+        low = u["start"] + u["length"] - size
+        count = F.least(overlap, acc["i"])
+        last = F.slice(units, acc["i"] - count + 1, count)
+        shared = F.array_min(F.transform(F.filter(last, lambda s: s["start"] >= low), lambda s: s["start"]))
+        rest = F.when(count > 0, _tail(text, low, u["start"])).otherwise(u["start"])
+        head = F.when(fits, acc["head"]).otherwise(F.coalesce(shared, rest))
+        done = F.array_append(acc["spans"], F.struct(acc["head"].alias("start"), acc["room"].alias("length")))
+        return let(
+            head,
+            lambda h: F.struct(
+                h.alias("head"),
+                (u["start"] + u["length"] - h).alias("room"),
+                (acc["i"] + 1).alias("i"),
+                F.when(fits, acc["spans"]).otherwise(done).alias("spans"),
+            ),
         )
 
     def finish(acc: Column) -> Column:
-        last = F.struct(units[acc["first"]]["start"].alias("start"), acc["room"].alias("length"))
+        last = F.struct(acc["head"].alias("start"), acc["room"].alias("length"))
         return F.when(F.size(units) > 0, F.array_append(acc["spans"], last)).otherwise(acc["spans"])
 
     return F.aggregate(units, zero, step, finish)
@@ -154,12 +170,12 @@ def pieces(chunks: DataFrame, configs: DataFrame, text: str = "text") -> DataFra
     rows = with_config(chunks, configs).where(F.length(text) > 0)
     size, overlap = F.col("size"), F.col("overlap")
     rest = F.when(F.col("by_sentence"), F.greatest((size / (overlap + 1)).cast("int"), F.lit(1))).otherwise(size - overlap)
-    pattern = F.when(F.col("by_sentence"), _filled_in(_UNIT, b=rest)).otherwise(_filled_in(_BODY, a=size, b=rest))
+    pattern = F.when(F.col("by_sentence"), _filled_in(_UNIT, a=size, b=rest)).otherwise(_filled_in(_BODY, a=size, b=rest))
     # What is within the size is one part as it is; no pattern has to be tried on it.
     parts = F.when(F.length(text) <= size, F.array(F.col(text))).otherwise(F.regexp_extract_all(F.col(text), pattern, F.lit(0)))
     rows = rows.withColumn("_parts", parts)
     rows = rows.withColumn("_spans", _spans(F.col("_parts"))).drop("_parts")
-    cut = F.when(F.col("by_sentence"), let(F.col("_spans"), lambda units: _packed(units, size, overlap))).otherwise(_lookback(F.col("_spans"), overlap))
+    cut = F.when(F.col("by_sentence"), let(F.col("_spans"), lambda units: _packed(units, size, overlap, F.col(text)))).otherwise(_lookback(F.col("_spans"), overlap))
     rows = rows.withColumn("_pieces", cut).drop("_spans")
     rows = rows.select("*", F.posexplode("_pieces").alias("piece_pos", "_s")).drop("_pieces")
     return (

@@ -130,6 +130,23 @@ def test_pieces_cut_at_the_strongest_boundary(spark):
     assert by["w"] == ["One two. Three four. Five six. ", "Five six. Seven eight. Nine."]
 
 
+def test_sentences_within_the_size_stay_whole(spark):
+    configs = spark.createDataFrame([(1, "sentence_window", 40, 0, 1, True, 0), (2, "sentence_window", 40, 0, 2, False, 0)], CONFIG)
+    texts = {
+        "a": (1, "One two. Three four five six seven eight. Nine. Ten eleven twelve thirteen."),
+        "b": (2, "One is not two. Three is not four. Five is not six. Seven."),
+        "c": (1, "甲" * 29 + "。" + "乙" * 29 + "。"), "d": (1, "One. " + "x" * 38 + ". Two."),
+    }
+    rows = spark.createDataFrame([(k, c, t) for k, (c, t) in texts.items()], "chunk_id string, config_id int, text string")
+    by = {}
+    for r in pieces.pieces(rows, configs).orderBy("piece_pos").collect():
+        by.setdefault(r["chunk_id"], []).append(r["piece"])
+    assert by["a"] == ["One two. ", "two. Three four five six seven eight. ", "Three four five six seven eight. Nine. ", "Nine. Ten eleven twelve thirteen."]
+    assert by["b"] == ["One is not two. Three is not four. ", "Three is not four. Five is not six. ", "Five is not six. Seven."]
+    assert by["c"] == ["甲" * 29 + "。", "甲" * 9 + "。" + "乙" * 29 + "。"]
+    assert by["d"] == ["One. ", "x" * 38 + ". ", "x" * 34 + ". Two."]
+
+
 def test_trie_counts():
     rng = random.Random(6)
     keys = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 6))).encode() for _ in range(400)]
