@@ -5,8 +5,8 @@ functions give the pieces their overlap. Cuts lose nothing: the bodies of a text
 text, and every piece is a substring of it.
 
 *fixed* overlap. A body takes, greedily and within the size less the overlap, as much as ends at the strongest
-boundary that lies in its second half: paragraph, sentence, clause, word, else a character that no combining
-mark follows, else any character. Each piece but the first begins ``fixed_overlap`` code points before its
+boundary that lies in its second half: paragraph, sentence, clause, word, else at the strongest in its first half,
+else a character that no combining mark follows, else any character. Each piece but the first begins ``fixed_overlap`` code points before its
 body, so consecutive pieces share exactly that much.
 
 *sentence window* overlap. Whole sentences are packed greedily into pieces within the size; only a sentence
@@ -40,19 +40,20 @@ _CLAUSE = r"[,;:—–、，；：،]"
 
 
 def _ladder(most: str, least: str) -> str:
-    """Alternatives by strength of boundary, each taking as much as it can between ``least`` and ``most``."""
-    room = f".{{{least},{most}}}"
-    return "|".join(
-        [
+    """Alternatives by strength of boundary, each taking as much as it can between ``least`` and ``most``; then
+    the same from the first character on; then any character."""
+
+    def boundaries(room: str) -> list[str]:
+        return [
             rf"{room}(?<=\n\s{{0,9}}\n)",
             rf"{room}(?<={_END}{_CLOSE}{{0,3}}\s{{1,9}}){_NO_END}",
             rf"{room}(?<=[。！？।]{_CLOSE}{{0,3}})(?!{_CLOSE})",
             rf"{room}(?<={_CLAUSE}\s{{1,9}}|[、，；：])",
             rf"{room}(?<=\s)(?!\s)",
-            rf".{{1,{most}}}(?![\p{{M}}\x{{200d}}])",
-            rf".{{1,{most}}}",
         ]
-    )
+
+    early = boundaries(f".{{1,{least}}}")
+    return "|".join([*boundaries(f".{{{least},{most}}}"), *early, rf".{{1,{most}}}(?![\p{{M}}\x{{200d}}])", rf".{{1,{most}}}"])
 
 
 # One body: what fits whole is taken whole; <a> is the limit at the start of the text, <b> that elsewhere,

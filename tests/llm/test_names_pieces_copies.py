@@ -196,3 +196,13 @@ def test_very_long_names(spark):
     e = spark.createDataFrame([(1, "f", long), (2, "f", long.upper())], "row_id long, file_id string, name string")
     records = copies.canonical(e, spark.createDataFrame([], "row_id long, file_id string, source string, target string"))
     assert [tuple(x) for x in copies.copy_rows(records, copies.collapse(records, 1, 3000)).collect()] == [("entities", 1, 2)]
+
+
+def test_long_runs_are_not_cut_where_a_boundary_comes_before_them(spark):
+    configs = spark.createDataFrame([(1, "fixed", 40, 0, 0, True, 0)], CONFIG)
+    texts = {"a": "Short one. " + "x" * 35 + " and more.", "b": "Ab, cd " + "x" * 38, "c": "y" * 50}
+    rows = spark.createDataFrame([(k, 1, t) for k, t in texts.items()], "chunk_id string, config_id int, text string")
+    by = {}
+    for r in pieces.pieces(rows, configs).orderBy("piece_pos").collect():
+        by.setdefault(r["chunk_id"], []).append(r["piece"])
+    assert by == {"a": ["Short one. ", "x" * 35 + " and ", "more."], "b": ["Ab, ", "cd ", "x" * 38], "c": ["y" * 40, "y" * 10]}
