@@ -5,7 +5,11 @@ list markers, and the spaces of scripts that end sentences with a space. Its sta
 and brackets; inside them nothing ends. A full stop is judged by a trie of abbreviations, read backwards from
 the stop, and by what follows it.
 
-* A blank line ends a unit, whatever is open; a single line break ends nothing.
+* A blank line ends a unit, whatever is open; a single line break ends nothing, but for headings.
+* A heading on a line of its own is told by its form: a short line without a terminator, after the end of a unit
+  and before a line that begins a sentence, which is in capitals, numbered after a word such as chapter, or
+  begins with a capital and stops although the next word had room beside it, by the lines of its paragraph. The
+  first line of a text may be the rest of a wrapped one, so there the room says nothing.
 * Speech and the words that introduce or follow it in the same sentence are one unit.
 * A paragraph that begins inside a quotation (its first mark closes one) is taken up inside it; one that ends
   inside stays open to its end. An opening mark that is never closed within a paragraph that goes on is void.
@@ -55,10 +59,68 @@ _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _SPACED = re.compile(r"[฀-๿຀-໿ༀ-࿿က-႟ក-៿]")
 _ATTRIBUTION = re.compile(r"[^。！？“”]{1,14}(?:问|問|说|說|道|喊|答|叫|曰)[。！]")
 _HEADING = re.compile(r"(?mi)^[ \t]*(?:part|chapter|chapitre|cap[ií]tulo|kapitel|teil|partie|parte|บทที่|अध्याय|第)[ \t]*[\w]{1,6}[ \t]*[章部節节回]?(?:[ \t]*:[^\n.!?]{1,60})?[ \t]*\n")
-#: An opening mark that its paragraph never closes holds at the end of a text for so many code points.
+# Words that a numbered heading begins with, those that are headings by themselves, and those that
+# stay small in titles.
+_NUMBERED = set("part chapter chapitre capítulo capitulo kapitel teil partie parte book section act scene letter บทที่ अध्याय".split())
+_ALONE = set("prologue epilogue introduction preface foreword afterword contents appendix prolog epilog vorwort nachwort einleitung anhang préface introducción prólogo epílogo".split())
+_SMALL = set("a an the of and or in on at to for by from with de la le les des du et el los las y der die das und von zu im am".split())
+_WORD = re.compile(r"[^\W_][\w'’-]*")
+HEADING_LENGTH = 80
+#: An opening bracket that its paragraph never closes holds at the end of a text for so many code points.
 OPEN_END = 400
 
 
+def _is_heading(line: str, before: str | None, after: str, width: int) -> bool:
+    """Whether a line is a heading by its form; ``before`` is None where no line of the text has anything before it,
+    ``width`` that of the longest other line of its paragraph."""
+    words = _WORD.findall(line)
+    if not words or len(line) > HEADING_LENGTH or line[-1] in ".!?…,;:、，；：-" or line[-1] in WIDE or line[-1] in DASHES:
+        return False
+    if line[0] in DASHES or any(c in line for c in "\"“”„«»「」『』"):
+        return False
+    if before and not (before[-1] in ".!?…" or before[-1] in WIDE or before[-1] in ALL_CLOSING or before[-1] in "\"'’“"):
+        return False
+    if not after or after[0].islower() or after[0] in ",;:，；：、)]}":
+        return False
+    if not words[0][0].isupper() and words[0].lower() not in _NUMBERED:
+        return False
+    small = [w for w in words[1:-1] if w.lower() in _SMALL]
+    titled = sum(w[0].isupper() or w[0].isdigit() for w in words) + sum(w.islower() for w in small) == len(words)
+    if words[0].lower() in _NUMBERED and len(words) > 1:
+        numbered = words[1][0].isdigit() or words[1].isupper()
+        apart = re.match(r"\W*\w+\s+[\w'’-]+\s*[.:–—-]\s", line)
+        return titled or (numbered and (len(words) == 2 or bool(apart))) or bool(apart and words[1][0].isupper())
+    if line.isupper() and sum(c.isalpha() for c in line) > 3:
+        return True
+    if len(words) == 1 and words[0].lower() in _ALONE:
+        return True
+    if before is None or "." in line or len(line) + 1 + len(after.split(None, 1)[0]) > width:
+        return False
+    return titled or len(line) * 2 <= width
+
+
+def _headings(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines that are headings, with the line break."""
+    found = {(m.start(), m.end()) for m in _HEADING.finditer(text) if not text[m.end() : m.end() + 1].islower()}
+    lines, at = text.split("\n"), 0
+    bare = [line.strip() for line in lines]
+    part = [0] * len(lines)  # the number of each line's paragraph
+    widths: dict[int, list[int]] = {}  # the two greatest lengths of a paragraph's lines
+    for i, line in enumerate(bare):
+        part[i] = part[i - 1] + (not line) if i else 0
+        # A line with a word that no line has room for tells nothing of the width.
+        length = len(line) if len(max(line.split(), key=len, default="")) <= HEADING_LENGTH // 2 else 0
+        widths[part[i]] = sorted([*widths.get(part[i], [0, 0]), length])[-2:]
+    for i, line in enumerate(lines[:-1]):
+        if 0 < len(bare[i]) <= HEADING_LENGTH:
+            second, first = widths[part[i]]
+            width = second if len(bare[i]) == first else first
+            if _is_heading(bare[i], bare[i - 1] if text[:at].strip() else None, bare[i + 1], width):
+                found.add((at, at + len(line) + 1))
+        at += len(line) + 1
+    return sorted(found)
+
+
 def abbreviation_trie() -> dict:
     """Letters from last to first; the key "" holds what the stop can be."""
     root: dict = {}
@@ -336,8 +398,9 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     breaks = [(m.start(), m.end()) for m in _BLANK.finditer(text)]
-    breaks += [(m.end() - 1, m.end()) for m in _HEADING.finditer(text)]
-    breaks += [(m.start(), m.start()) for m in _HEADING.finditer(text) if m.start()]
+    headings = _headings(text) if "\n" in text else []
+    for start, end in headings:
+        breaks += [(start, start), (end - 1, end)] if start else [(end - 1, end)]
     breaks.sort()
     parts, begin = [], 0
     for start, stop in breaks:
@@ -349,7 +412,12 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     parts.append((begin, len(text)))
     parts = [(a, b) for a, b in parts if text[a:b].strip()]
     out: list[tuple[int, int]] = []
+    whole = {(start, end - 1) for start, end in headings}
     for i, (a, b) in enumerate(parts):
+        if (a, b) in whole:  # one unit, whatever stands in it
+            a = _skip(text, a, b)
+            out.append((a, a + len(text[a:b].rstrip())))
+            continue
         out.extend(_paragraph(text, a, b, i == 0, i == len(parts) - 1))
     return out
 

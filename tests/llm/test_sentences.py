@@ -64,3 +64,17 @@ def test_very_long_text_and_table(spark):
     assert sorted(x for x in got if x[0] == "a") == [("a", 0, 4), ("a", 5, 9)] and (None, 0, 6) in got
     assert len([x for x in got if x[0] == "d"]) == 20_000 and len(got) == 20_003
     assert sentences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["Chapter Thirteen", "Ann left the house."], ["Chapter 3. The Bridge", "Ann left the house."], ["Chapter 3 - The Bridge", "“Go!” said Ann."],
+        ["Ann left the house by the long bridge that night.", "THE LOWER ROAD", "Bo came."], ["Chapter Twenty-One – The Mill of Bo", "Ann left."],
+        ["Ann left the house by the long bridge that night.", "The Lower Road", "Bo came to the mill and saw what it was."],
+        ["Part of\nthe house fell."], ["Part One was over\nand Ann left."], ["When Ann\nLee left, Bo came."], ["He met\nAnn Lee and Bo at the old\nbridge."],
+    ],
+)
+def test_headings_by_their_form(units):
+    text = "\n".join(units)
+    assert [text[a:b] for a, b in sentence_spans(text)] == units
