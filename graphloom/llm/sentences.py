@@ -12,7 +12,8 @@ the stop, and by what follows it.
   first line of a text may be the rest of a wrapped one, so there the room says nothing.
 * Speech and the words that introduce or follow it in the same sentence are one unit.
 * A paragraph that begins inside a quotation (its first mark closes one) is taken up inside it; one that ends
-  inside stays open to its end. An opening mark that is never closed within a paragraph that goes on is void.
+  inside stays open to its end. An opening mark that is never closed within a paragraph that goes on is void; at
+  the end of a text it holds, however far, when it stands where one opens and none like it opens after it.
 * A stop after a list marker ends nothing. A marker counts when it begins a unit and follows in number.
 * Thai, Lao, Khmer, Burmese and Tibetan letters: a space ends a unit, unless it stands next to a number or
   between speech and the words that go with it.
@@ -382,13 +383,32 @@ class _Run:
         return self.units
 
 
+def _holds(text: str, begin: int, at: int, end: int) -> bool:
+    """Whether an opening mark left open at the end of a text is one, by what stands around it and what follows.
+    A single one may be an apostrophe; far from the end it has to begin a sentence or follow words that introduce it."""
+    mark = text[at]
+    if mark in BRACKETS:
+        return end - at <= OPEN_END
+    before = text[begin:at].rstrip()
+    glued = at > begin and text[at - 1].isalnum() and text[at - 1].isascii()
+    if mark in "'‘":
+        again = bool(re.search(r"(?<=[^\S\n])['‘](?=\w)", text[at + 1 : end]))
+    else:
+        again = mark in text[at + 1 : end].replace("\n" + mark, "")  # a speech may open anew on each line
+    if glued or again or (mark in "\"“" and text[at + 1 : at + 2].isspace()):
+        return mark in "'‘" and end - at <= OPEN_END
+    if mark in "'‘" and end - at > OPEN_END:
+        return not before or before[-1] in ".!?…,:—–" or before[-1] in WIDE or before[-1] in ALL_CLOSING
+    return True
+
+
 def _paragraph(text: str, begin: int, end: int, first: bool, last: bool) -> list[tuple[int, int]]:
     void: frozenset[int] = frozenset()
     while True:
         run = _Run(text, begin, end, first, void)
         units = run.run()
         open_at = [p for _, p in run.stack if p >= 0]
-        if not open_at or (last and end - open_at[0] <= OPEN_END):
+        if not open_at or (last and _holds(text, begin, open_at[0], end)):
             return units
         void |= {open_at[0]}
 

@@ -78,3 +78,14 @@ def test_very_long_text_and_table(spark):
 def test_headings_by_their_form(units):
     text = "\n".join(units)
     assert [text[a:b] for a, b in sentence_spans(text)] == units
+
+
+@pytest.mark.parametrize("speech", ["“{}", "Ann said: “{}", "„{}", "「{}", "Ann cried, \"{}", "Bo said, '{}", "Bo said, 'It's not far. {}"])
+def test_a_long_speech_that_the_edge_cuts_off_is_one_unit(speech):
+    text = "It rose. " + speech.format("We leave tonight. Bring the lantern! " * 20 + "Now")
+    assert [text[a:b] for a, b in sentence_spans(text)] == ["It rose.", text[9:]]
+
+
+def test_marks_that_open_nothing_at_the_end():
+    for text in ("“We go. “Now,” said Ann. Bo left.", "It was 5\" long. Ann left."):
+        assert len(sentence_spans(text)) > 1
