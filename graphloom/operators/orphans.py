@@ -1,17 +1,20 @@
 """References to records that do not exist: pending-orphan state, kept incrementally.
 
-The state is three keyed tables. ``parents`` has one row per live version of a parent key (and one per
-deleted version, so that the cause can be told); ``refs`` has every reference seen, with its standing;
-``gone`` has the versions (key, loaded_at) that deletions withdrew, so that a withdrawn version stays so when
-it is delivered in the same step, later, or again. A version that arrives with ``live`` false is a row of its
-own, as in the SQL of p5_found: it withdraws no other row; only deletions do.
-A step takes new parents, new references and deletions, and touches only the keys that occur in them:
-new references probe the parent index, arriving parents resolve the references that wait for them, and
-deletions reopen references that lose their last early enough parent. One step from the empty state over
-the whole tables gives the same standing as many steps over parts of them, in any order.
-
-A reference is an *orphan* when no live parent of its key was loaded no later than the reference.
+The state is four keyed tables. ``parents`` has every parent version that was delivered, and ``gone`` the versions
+that deletions withdrew: both only grow, step by step, so a withdrawn version stays withdrawn when it is delivered in
+the same step, later, or again. ``orphans`` has the references that wait: it is what a step rewrites. ``served`` is a
+log of the references that found a parent; it only grows, and is read again only for keys that a deletion hits.
 
+A step (``take``) brings new parents, new references and deletions. New references probe the parent index, arriving
+parents resolve the references that wait for them, and deletions reopen references that lose their last early enough
+parent. Steps may cut the input anywhere and come in any order: the standing after the last is the same.
+``replay`` takes whole tables through such steps, period by period of loaded_at.
+
+A reference is an *orphan* when no live parent of its key was loaded no later than the reference. One whose first
+parent was loaded after it (cause ``late``) no longer waits, but stays an orphan, as it was one when it was loaded.
+
+* A version is told by (key, loaded_at, version); deletions name it so. One that arrives with ``live`` false never
+  serves, and withdraws no other; only deletions do. Inputs without the column ``version`` have it null.
 * Null keys match nothing: such a reference is an orphan. Null ``is_deleted`` counts as live.
 * A reference without ``loaded_at`` is an orphan; a parent without ``loaded_at`` serves nobody.
 * Repeated references and parents count once. Empty tables give empty results.
@@ -20,21 +23,26 @@ A reference is an *orphan* when no live parent of its key was loaded no later th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import alike_key, is_blank
-from graphloom.operators.skew import lookup
+from graphloom.operators.skew import HOT_KEYS, lookup
 from graphloom.session import cut
 
+#: Steps that ``replay`` cuts the time between the first and the last load into, at whole months.
+STEPS = 4
+
 PARENTS = T.StructType(
     [
         T.StructField("key", T.StringType()),
         T.StructField("loaded_at", T.TimestampNTZType()),
         T.StructField("live", T.BooleanType()),
+        T.StructField("version", T.LongType()),
     ]
 )
 REFS = T.StructType(
@@ -54,68 +62,100 @@ STANDING = T.StructType(
         T.StructField("known", T.BooleanType()),
     ]
 )
-
-
-GONE = T.StructType([T.StructField("key", T.StringType()), T.StructField("loaded_at", T.TimestampNTZType())])
+GONE = T.StructType([f for f in PARENTS.fields if f.name != "live"])
 
 
 @dataclass
 class OrphanState:
-    """``parents`` (see PARENTS), ``refs`` (see STANDING) and ``gone`` (see GONE)."""
+    """``parents`` (see PARENTS), ``gone`` (see GONE), ``orphans`` and ``served`` (see STANDING)."""
 
     parents: DataFrame
-    refs: DataFrame
     gone: DataFrame
+    orphans: DataFrame
+    served: DataFrame
 
     @classmethod
     def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(*[spark.createDataFrame([], schema) for schema in (PARENTS, STANDING, GONE)])
+        return cls(*[spark.createDataFrame([], schema) for schema in (PARENTS, GONE, STANDING, STANDING)])
 
+    def plus(self, new: OrphanState) -> OrphanState:
+        """The state after a step that gave ``new``: its orphans take the place of the old ones, the rest is added."""
+        return OrphanState(
+            self.parents.unionByName(new.parents), self.gone.unionByName(new.gone), new.orphans, self.served.unionByName(new.served)
+        )
 
-def _index(parents: DataFrame) -> DataFrame:
-    """The parent index: the first live load of each key. ``min`` combines before the shuffle."""
-    return parents.groupBy("key").agg(
-        F.min(F.when(F.col("live"), F.col("loaded_at"))).alias("first_live"), F.lit(True).alias("known")
-    )
 
+def _shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
-def _probe(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    rows = refs.select(*[f.name for f in REFS.fields])
-    spread = F.concat_ws("|", "ref_table", "ref_field", F.col("row_id").cast("string"), "ref_key")
-    return lookup(rows, _index(parents), ["key"], ["first_live", "known"], spread)
 
+def _index(parents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The parent index: the first load of each key that still serves. Both aggregates combine before the shuffle."""
+    rows = parents.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+    versions = rows.where(F.col("key").isNotNull()).groupBy("key", "loaded_at", "version").agg(F.max("live").alias("live"), F.max("gone").alias("gone"))
+    serves = F.col("live") & ~F.col("gone")
+    known = F.max(F.col("live").isNotNull())
+    index = versions.groupBy("key").agg(F.min(F.when(serves, F.col("loaded_at"))).alias("first_live"), known.alias("known"))
+    return index.where("known")
 
-def advance(
-    state: OrphanState | None,
-    parents: DataFrame,
-    refs: DataFrame,
-    deletions: DataFrame | None = None,
-    materialise: bool = True,
+
+def _spread() -> F.Column:
+    return F.concat_ws("|", "ref_table", "ref_field", F.col("row_id").cast("string"), "ref_key")
+
+
+def take(
+    state: OrphanState, parents: DataFrame, refs: DataFrame, deletions: DataFrame | None = None, weights: DataFrame | None = None
 ) -> OrphanState:
-    """One step. ``deletions`` has (key, loaded_at): the parent versions that are withdrawn.
+    """One step: what it adds to ``state``, and the orphans after it (see ``OrphanState.plus``).
 
-    ``state`` None is the empty state: then all keys are touched, and nothing has to be looked for.
+    ``parents`` and ``deletions`` (key, loaded_at, version) become part of the state as they are given, so they have
+    to be durable; the standing of the references that the step touches is written out. ``weights`` (key, n) has the
+    references of the heaviest keys, where that is known beforehand.
     """
-    parents = parents.select("key", "loaded_at", "live").distinct()
-    refs = refs.select(*[f.name for f in REFS.fields]).distinct()
-    if state is None and deletions is None:
-        return OrphanState(parents, _probe(refs, parents), parents.sparkSession.createDataFrame([], GONE))
-    state = state or OrphanState.empty(parents.sparkSession)
-    touched = parents.select("key").union(refs.select("key"))
-    gone = state.gone
+    parents = _shaped(parents, PARENTS)
+    gone = _shaped(deletions, GONE) if deletions is not None else state.gone.limit(0)
+    touched = _shaped(refs, REFS).unionByName(state.orphans.select(*REFS.names)).withColumn("logged", F.lit(False))
     if deletions is not None:
-        gone = gone.union(deletions.select("key", "loaded_at")).distinct()
-        touched = touched.union(deletions.select("key"))
-    touched = touched.where(F.col("key").isNotNull()).distinct()
-    # A withdrawn version stays known, but no longer serves.
-    merged = state.parents.union(parents).join(gone.withColumn("_gone", F.lit(True)), ["key", "loaded_at"], "left")
-    merged = merged.select("key", "loaded_at", (F.col("live") & F.col("_gone").isNull()).alias("live")).distinct()
-    again = state.refs.join(touched, "key", "left_semi").select(*[f.name for f in REFS.fields])
-    same = state.refs.join(touched, "key", "left_anti").select(*[f.name for f in STANDING.fields])
-    index_part = merged.join(touched, "key", "left_semi")
-    moved = _probe(again.unionByName(refs).distinct(), index_part)
-    out = same.unionByName(moved.select(*[f.name for f in STANDING.fields])).distinct()
-    return OrphanState(cut(merged), cut(out), cut(gone)) if materialise else OrphanState(merged, out, gone)
+        hit = gone.where(F.col("key").isNotNull()).groupBy("key").agg(F.lit(True).alias("hit"))
+        reopened = lookup(state.served.select(*REFS.names), hit, ["key"], ["hit"], _spread(), weights).where("hit")
+        touched = touched.unionByName(reopened.select(*REFS.names, F.lit(True).alias("logged")))
+    index = _index(state.parents.unionByName(parents), state.gone.unionByName(gone))
+    probed = cut(lookup(touched, index, ["key"], ["first_live", "known"], _spread(), weights).select(*STANDING.names, "logged"))
+    orphans, served = probed.where(is_orphan()), probed.where(~is_orphan() & ~F.col("logged"))
+    return OrphanState(parents, gone, orphans.select(*STANDING.names).distinct(), served.select(*STANDING.names))
+
+
+def advance(
+    state: OrphanState | None, parents: DataFrame, refs: DataFrame, deletions: DataFrame | None = None, weights: DataFrame | None = None
+) -> OrphanState:
+    """The state after one step; ``state`` None is the empty state."""
+    state = state or OrphanState.empty(parents.sparkSession)
+    return state.plus(take(state, parents, refs, deletions, weights))
+
+
+def replay(
+    parents: DataFrame, refs: DataFrame, steps: int = STEPS, report: Callable[[int, OrphanState], None] | None = None
+) -> OrphanState:
+    """The tables taken through the state by periods of loaded_at, at most ``steps`` of whole months each. The rows
+    of a period arrive together; a parent row that is marked deleted (``live`` false) arrives live, and its deletion
+    comes with the next period, in the last one with the row. Rows without loaded_at arrive first."""
+    parents, refs = cut(_shaped(parents, PARENTS)), cut(_shaped(refs, REFS).distinct())
+    month = F.year("loaded_at") * 12 + F.month("loaded_at")
+    ends = parents.select(month.alias("m")).union(refs.select(month.alias("m"))).agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
+    first, last = (ends["a"], ends["b"]) if ends["a"] is not None else (0, 0)
+    width = -(-(last - first + 1) // steps)
+    count = -(-(last - first + 1) // width)
+    period = F.coalesce(F.floor((month - first) / width), F.lit(0)).cast("int")
+    weights = cut(refs.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEYS))
+    state = None
+    for n in range(count):
+        due = (period == n - 1) | (period == n) if n == count - 1 else period == n - 1
+        arrived = parents.where(period == n).withColumn("live", F.lit(True))
+        deleted = parents.where(due & ~F.col("live")) if n or count == 1 else None
+        state = advance(state, arrived, refs.where(period == n), deleted, weights)
+        if report:
+            report(n, state)
+    return state
 
 
 def is_orphan() -> F.Column:
@@ -126,7 +166,7 @@ def is_orphan() -> F.Column:
 def orphans(state: OrphanState) -> DataFrame:
     """The orphan references, with their cause: ``missing``, ``deleted`` or ``late``."""
     cause = F.when(F.col("first_live").isNotNull(), "late").when(F.col("known"), "deleted").otherwise("missing")
-    return state.refs.where(is_orphan()).withColumn("cause", cause)
+    return state.orphans.withColumn("cause", cause)
 
 
 def snapshots(state: OrphanState) -> DataFrame:
@@ -134,7 +174,10 @@ def snapshots(state: OrphanState) -> DataFrame:
 
     The counts are made before anything is ordered; the running sum is over one row per table and month.
     """
-    refs = state.refs.withColumn("orphan", is_orphan()).withColumn("period", F.date_format("loaded_at", "yyyy-MM"))
+    # What a deletion reopened is an orphan, whatever the log of the served says.
+    every = state.orphans.withColumn("open", F.lit(1)).unionByName(state.served.withColumn("open", F.lit(0)))
+    every = every.groupBy(*REFS.names).agg(F.max(F.struct("open", "first_live", "known")).alias("s")).select(*REFS.names, "s.first_live", "s.known")
+    refs = every.withColumn("orphan", is_orphan()).withColumn("period", F.date_format("loaded_at", "yyyy-MM"))
     cause = F.when(F.col("first_live").isNotNull(), "late").when(F.col("known"), "deleted").otherwise("missing")
     opened = refs.groupBy("ref_table", "period").agg(
         F.count(F.lit(1)).alias("refs"),
@@ -148,8 +191,6 @@ def snapshots(state: OrphanState) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("resolved"))
     )
     both = opened.join(closed, ["ref_table", "period"], "full").fillna(0)
-    from pyspark.sql import Window
-
     run = Window.partitionBy("ref_table").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("waiting", F.sum(F.col("orphans") - F.col("resolved")).over(run))
 
@@ -166,9 +207,12 @@ def reference_keys(entities: DataFrame, relations: DataFrame, chunks: DataFrame)
         return F.concat(F.lit(kind + "\x1f"), F.col("file_id"), F.lit("\x1f"), key)
 
     named = entities.where(~is_blank(F.col("name")))
-    parents = named.select(scoped("entity", alike_key(F.col("name"))).alias("key"), "loaded_at", live.alias("live"))
+    parents = named.select(
+        scoped("entity", alike_key(F.col("name"))).alias("key"), "loaded_at", live.alias("live"), F.col("row_id").alias("version")
+    )
+    # A chunk's rows have no number: what tells them apart is their standing.
     parents = parents.union(
-        chunks.select(F.concat(F.lit("chunk\x1f"), F.col("chunk_id")).alias("key"), "loaded_at", live.alias("live"))
+        chunks.select(F.concat(F.lit("chunk\x1f"), F.col("chunk_id")).alias("key"), "loaded_at", live.alias("live"), live.cast("bigint").alias("version"))
     )
     ends = F.array(
         F.struct(F.lit("source").alias("ref_field"), F.col("source").alias("ref_key")),

@@ -10,7 +10,7 @@ from graphloom.plans.tables import table
 
 def _state(spark: SparkSession, folder: str) -> O.OrphanState:
     parents, refs = O.reference_keys(*[table(spark, folder, t) for t in ("entities", "relations", "chunks")])
-    return O.advance(None, parents, refs, materialise=False)
+    return O.replay(parents, refs)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
