@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import alike_key, is_blank
-from graphloom.operators.skew import HOT_KEYS, lookup
+from graphloom.operators.skew import heaviest, lookup
 from graphloom.session import cut
 
 #: Steps that ``replay`` cuts the time between the first and the last load into, at whole months.
-STEPS = 4
+STEPS = 3
 
 PARENTS = T.StructType(
     [
@@ -73,13 +73,16 @@ class OrphanState:
     gone: DataFrame
     orphans: DataFrame
     served: DataFrame
+    new: bool = False
 
     @classmethod
     def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(*[spark.createDataFrame([], schema) for schema in (PARENTS, GONE, STANDING, STANDING)])
+        return cls(*[spark.createDataFrame([], schema) for schema in (PARENTS, GONE, STANDING, STANDING)], new=True)
 
     def plus(self, new: OrphanState) -> OrphanState:
         """The state after a step that gave ``new``: its orphans take the place of the old ones, the rest is added."""
+        if self.new:
+            return new
         return OrphanState(
             self.parents.unionByName(new.parents), self.gone.unionByName(new.gone), new.orphans, self.served.unionByName(new.served)
         )
@@ -100,7 +103,7 @@ def _index(parents: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _spread() -> F.Column:
-    return F.concat_ws("|", "ref_table", "ref_field", F.col("row_id").cast("string"), "ref_key")
+    return F.xxhash64("ref_field", "row_id", "ref_key")
 
 
 def take(
@@ -114,12 +117,13 @@ def take(
     """
     parents = _shaped(parents, PARENTS)
     gone = _shaped(deletions, GONE) if deletions is not None else state.gone.limit(0)
-    touched = _shaped(refs, REFS).unionByName(state.orphans.select(*REFS.names)).withColumn("logged", F.lit(False))
-    if deletions is not None:
+    touched = _shaped(refs, REFS)
+    touched = (touched if state.new else touched.unionByName(state.orphans.select(*REFS.names))).withColumn("logged", F.lit(False))
+    if deletions is not None and not state.new:
         hit = gone.where(F.col("key").isNotNull()).groupBy("key").agg(F.lit(True).alias("hit"))
         reopened = lookup(state.served.select(*REFS.names), hit, ["key"], ["hit"], _spread(), weights).where("hit")
         touched = touched.unionByName(reopened.select(*REFS.names, F.lit(True).alias("logged")))
-    index = _index(state.parents.unionByName(parents), state.gone.unionByName(gone))
+    index = _index(parents, gone) if state.new else _index(state.parents.unionByName(parents), state.gone.unionByName(gone))
     probed = cut(lookup(touched, index, ["key"], ["first_live", "known"], _spread(), weights).select(*STANDING.names, "logged"))
     orphans, served = probed.where(is_orphan()), probed.where(~is_orphan() & ~F.col("logged"))
     return OrphanState(parents, gone, orphans.select(*STANDING.names).distinct(), served.select(*STANDING.names))
@@ -139,20 +143,25 @@ def replay(
     """The tables taken through the state by periods of loaded_at, at most ``steps`` of whole months each. The rows
     of a period arrive together; a parent row that is marked deleted (``live`` false) arrives live, and its deletion
     comes with the next period, in the last one with the row. Rows without loaded_at arrive first."""
-    parents, refs = cut(_shaped(parents, PARENTS)), cut(_shaped(refs, REFS).distinct())
     month = F.year("loaded_at") * 12 + F.month("loaded_at")
-    ends = parents.select(month.alias("m")).union(refs.select(month.alias("m"))).agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
+    parents = cut(_shaped(parents, PARENTS).withColumn("month", month))
+    refs = cut(_shaped(refs, REFS).distinct().withColumn("month", month))
+    ends = parents.select("month").union(refs.select("month")).agg(F.min("month").alias("a"), F.max("month").alias("b")).first()
     first, last = (ends["a"], ends["b"]) if ends["a"] is not None else (0, 0)
     width = -(-(last - first + 1) // steps)
     count = -(-(last - first + 1) // width)
-    period = F.coalesce(F.floor((month - first) / width), F.lit(0)).cast("int")
-    weights = cut(refs.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEYS))
+
+    def within(a: int, b: int) -> F.Column:
+        """Rows of the periods from a to b; those without a month belong to the first."""
+        return F.coalesce("month", F.lit(first)).between(first + a * width, first + (b + 1) * width - 1)
+
+    weights = cut(heaviest(refs, ["key"]))
     state = None
     for n in range(count):
-        due = (period == n - 1) | (period == n) if n == count - 1 else period == n - 1
-        arrived = parents.where(period == n).withColumn("live", F.lit(True))
+        due = within(max(n - 1, 0), n if n == count - 1 else n - 1)
+        arrived = parents.where(within(n, n)).withColumn("live", F.lit(True))
         deleted = parents.where(due & ~F.col("live")) if n or count == 1 else None
-        state = advance(state, arrived, refs.where(period == n), deleted, weights)
+        state = advance(state, arrived, refs.where(within(n, n)), deleted, weights)
         if report:
             report(n, state)
     return state
