@@ -5,14 +5,14 @@ packing: an item goes where the squared counts of open containers per residual g
 an opened container like any other gap and a full one as none. A document larger than the capacity is divided:
 its leading parts fill whole containers, what is left is an item.
 
-Documents are spread by a hash of doc_id over groups of about ``GROUP_ITEMS`` items, each packed on its own, largest first,
-so no task holds more than a group. What a group leaves open is packed again with what other groups left
+Every row of documents gets a number of its own, by which its parts are spread over groups of about ``GROUP_ITEMS``
+items, each packed on its own, largest first, so no task holds more than a group. What a group leaves open is packed again with what other groups left
 (``ROUNDS`` times): the containers under ``FULL`` of their capacity are dissolved into their items, which form
 new groups. The number of containers of one spec that stay under ``FULL`` is then about that of one group.
 
 Defined cases: an empty text is one item of one end token; a document with a null text is reported with a null
 container and no tokens; specs with a null id or a capacity under one are ignored; repeated specs count once;
-rows repeated under one doc_id are items of their own; null doc_ids are packed under null; extra columns are ignored.
+rows repeated under one doc_id, and those under null, are items of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import cut
+from graphloom.session import cut, task_count
 
 #: Items of a group: its state is a few numbers per item.
-GROUP_ITEMS = 50_000
+GROUP_ITEMS = 10_000
 #: A container filled to this part of its capacity stays closed after a round.
 FULL = 0.98
 ROUNDS = 2
-#: Container specs of one run.
-MAX_SPECS = 100
+#: Container specs that one part of the plan names; more specs make more parts.
+SPEC_BLOCK = 100
 
 
 class SumOfSquares:
@@ -84,6 +84,7 @@ _ITEMS = T.StructType(
         T.StructField("capacity", T.LongType()),
         T.StructField("container", T.StringType()),
         T.StructField("doc_id", T.LongType()),
+        T.StructField("item", T.LongType()),
         T.StructField("part", T.IntegerType()),
         T.StructField("tokens", T.LongType()),
         T.StructField("filled", T.LongType()),
@@ -94,7 +95,7 @@ _ITEMS = T.StructType(
 def _packer(round_: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         spec, group = key
-        rows = rows.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["tokens", "item", "part"], ascending=[False, True, True], kind="stable")
         sizes = rows["tokens"].to_numpy(dtype=np.int64)
         box = pack_sizes(sizes, int(rows["capacity"].iloc[0]))
         filled = np.bincount(box, weights=sizes).astype(np.int64)
@@ -107,34 +108,41 @@ def _packer(round_: int):
 def _packed(items: DataFrame, round_: int, group_items: int) -> DataFrame:
     """One round: items by spec in groups of bounded size."""
     load = items.groupBy("spec_id").agg(F.ceil(F.count(F.lit(1)) / group_items).cast("int").alias("groups"))
-    group = F.pmod(F.xxhash64("doc_id", "part", F.lit(round_)), F.col("groups"))
+    group = F.pmod(F.xxhash64("item", "part", F.lit(round_)), F.col("groups"))
     rows = items.join(F.broadcast(load), "spec_id").withColumn("group", group)
+    rows = rows.repartition(task_count(items.sparkSession), "spec_id", "group")
     return rows.groupBy("spec_id", "group").applyInPandas(_packer(round_), _ITEMS)
 
 
-def items_of(documents: DataFrame, specs: DataFrame) -> DataFrame:
-    """(spec_id, capacity, doc_id, part, tokens): every document's parts for every spec. The specs become literals of
-    the plan, so at most ``MAX_SPECS`` are taken; more are an error."""
-    listed = specs.where(F.col("spec_id").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity"))
-    found = listed.orderBy("spec_id").limit(MAX_SPECS + 1).collect()
-    if len(found) > MAX_SPECS:
-        raise ValueError(f"more than {MAX_SPECS} container specs")
-    kind = "ARRAY<STRUCT<spec_id:BIGINT,capacity:BIGINT>>"
-    every = F.array(*[F.struct(F.lit(int(r["spec_id"])).alias("spec_id"), F.lit(int(r["capacity"])).alias("capacity")) for r in found]).cast(kind)
+def numbered(documents: DataFrame) -> DataFrame:
+    """(doc_id, item, size) of the documents with a text. The numbers are written out, so they hold for good."""
     sized = documents.where(F.col("text").isNotNull()).select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("size"))
-    rows = sized.select("doc_id", "size", F.explode(every).alias("s")).select("doc_id", "size", "s.spec_id", "s.capacity")
+    return cut(sized.withColumn("item", F.monotonically_increasing_id()))
+
+
+def items_of(sized: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec_id, capacity, doc_id, item, part, tokens): every document's parts for every spec. The specs, each of which
+    takes up the whole corpus, become literals of the plan, ``SPEC_BLOCK`` at a time."""
+    listed = specs.where(F.col("spec_id").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity"))
+    found = listed.orderBy("spec_id").collect()
+    kind, out = "ARRAY<STRUCT<spec_id:BIGINT,capacity:BIGINT>>", None
+    for at in range(0, max(len(found), 1), SPEC_BLOCK):
+        block = [F.struct(F.lit(int(r["spec_id"])).alias("spec_id"), F.lit(int(r["capacity"])).alias("capacity")) for r in found[at : at + SPEC_BLOCK]]
+        rows = sized.select("doc_id", "item", "size", F.explode(F.array(*block).cast(kind)).alias("s"))
+        out = rows if out is None else out.unionByName(rows)
+    rows = out.select("doc_id", "item", "size", "s.spec_id", "s.capacity")
     parts = F.sequence(F.lit(0), (F.ceil(F.col("size") / F.col("capacity")) - 1).cast("int"))
     rows = rows.select("*", F.explode(parts).alias("part"))
     return rows.select(
-        "spec_id", "capacity", "doc_id", "part", F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("tokens")
+        "spec_id", "capacity", "doc_id", "item", "part", F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("tokens")
     )
 
 
 def pack(documents: DataFrame, specs: DataFrame, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
     """(spec_id, container, doc_id, part, tokens): every part of every document once per spec."""
-    items = items_of(documents, specs)
+    items = items_of(numbered(documents), specs)
     whole = items.where(F.col("tokens") == F.col("capacity"))
-    name = F.concat_ws("-", F.col("spec_id").cast("string"), F.lit("w"), F.col("doc_id").cast("string"), F.col("part").cast("string"), F.xxhash64("doc_id").cast("string"))
+    name = F.concat_ws("-", F.col("spec_id").cast("string"), F.lit("w"), F.col("item").cast("string"), F.col("part").cast("string"))
     done = whole.withColumn("container", name)
     left = items.where(F.col("tokens") < F.col("capacity"))
     columns = ["spec_id", "container", "doc_id", "part", "tokens"]

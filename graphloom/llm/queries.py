@@ -103,7 +103,25 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p8_packing(spark, folder), table(spark, folder, "container_specs"))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per spec: what is packed, containers over capacity, documents that are not whole, and whether the unused
+    space is under two parts in a hundred and one container."""
+    docs, specs = table(spark, folder, "documents"), table(spark, folder, "container_specs")
+    packed = packing.pack(docs, specs).where(F.col("container").isNotNull())
+    capacity = specs.select(F.col("spec_id").cast("bigint").alias("spec_id"), F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    boxes = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).join(F.broadcast(capacity), "spec_id")
+    size = docs.where(F.col("text").isNotNull()).select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("size"))
+    whole = packed.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("t")).join(size, "doc_id")
+    whole = whole.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("t") != F.col("size")).cast("bigint")).alias("not_whole"))
+    per = boxes.groupBy("spec_id", "capacity").agg(
+        F.sum("n").alias("parts"), F.sum("t").alias("tokens"), F.sum((F.col("t") > F.col("capacity")).cast("bigint")).alias("over"), F.count(F.lit(1)).alias("boxes")
+    )
+    tight = F.col("boxes") * F.col("capacity") <= F.col("tokens") * 1.02 + F.col("capacity")
+    return per.join(whole, "spec_id").select("spec_id", "parts", "tokens", "over", "documents", "not_whole", tight.alias("tight"))
+
+
 QUERIES = {
+    "p8_checks": p8_checks,
     "p8_packing": p8_packing,
     "p8_fill": p8_fill,
     "p10_found": p10_found,
