@@ -32,6 +32,31 @@ WITH measured AS (
     count(*) OVER g AS n FROM measured WINDOW g AS (PARTITION BY file_id, k))
 """
 
+_SURVIVORS = f"""
+WITH RECURSIVE measured AS (
+  SELECT e.file_id, {sql_key('name')} AS k, row_id, coalesce(epoch_us(extracted_at), -4611686018427387904) AS a, coalesce(trust_rank, -1) AS t,
+    CASE WHEN {_filled('type')} THEN type END AS ty, CASE WHEN {_filled('description')} THEN description END AS de,
+    CASE WHEN coalesce(len(list_filter(source_id, lambda s: {sql_filled('s')})) > 0, false) THEN array_to_string(source_id, ',') END AS so
+  FROM entities e LEFT JOIN extract_runs r USING (run_id) WHERE file_id IS NOT NULL AND {sql_filled('name')}
+), counted AS (
+  SELECT *, CAST(ty IS NOT NULL AS INT) + CAST(de IS NOT NULL AS INT) + CAST(so IS NOT NULL AS INT) AS c,
+    min(row_id) OVER g AS first_id, count(*) OVER g AS n FROM measured WINDOW g AS (PARTITION BY file_id, k)
+), vec AS (SELECT DISTINCT first_id, c, a, t FROM counted WHERE n > 1),
+dom AS (
+  SELECT x.first_id, x.c, x.a, x.t, y.c AS yc, y.a AS ya, y.t AS yt FROM vec x JOIN vec y
+  ON x.first_id = y.first_id AND y.c >= x.c AND y.a >= x.a AND y.t >= x.t AND (y.c > x.c OR y.a > x.a OR y.t > x.t)
+), walk AS (
+  SELECT first_id, c, a, t, 1 AS l FROM vec
+  UNION SELECT d.first_id, d.c, d.a, d.t, w.l + 1 FROM walk w JOIN dom d ON d.first_id = w.first_id AND d.yc = w.c AND d.ya = w.a AND d.yt = w.t
+), layered AS (SELECT first_id, c, a, t, max(l) AS l FROM walk GROUP BY ALL),
+placed AS (SELECT * FROM counted JOIN layered USING (first_id, c, a, t))
+SELECT first_id, count(*) AS size, first(row_id ORDER BY l, c DESC, a DESC, t DESC, row_id) AS row_id,
+  first(ty ORDER BY l, c DESC, a DESC, t DESC, row_id) FILTER (WHERE ty IS NOT NULL) AS type,
+  first(de ORDER BY l, c DESC, a DESC, t DESC, row_id) FILTER (WHERE de IS NOT NULL) AS description,
+  first(so ORDER BY l, c DESC, a DESC, t DESC, row_id) FILTER (WHERE so IS NOT NULL) AS source_id,
+  max(l) AS layers, bool_or(l = 1 AND c = mc AND a = ma AND t = mt) AS ideal
+FROM (SELECT *, max(c) OVER g AS mc, max(a) OVER g AS ma, max(t) OVER g AS mt FROM placed WINDOW g AS (PARTITION BY first_id)) GROUP BY first_id"""
+
 _NEAR = """
   SELECT '{t}' AS vector_table, least(id, other) AS id_a, greatest(id, other) AS id_b
   FROM (
@@ -42,6 +67,10 @@ _VECTORS = """{t}_v AS (
   WHERE id IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY id)"""
 
 SQL = {
+    "p8_checks": """
+SELECT CAST(spec_id AS BIGINT) AS spec_id, CAST(sum(ceil(size / capacity_tokens)) AS BIGINT) AS parts, CAST(sum(size) AS BIGINT) AS tokens,
+  CAST(0 AS BIGINT) AS over, count(*) AS documents, CAST(0 AS BIGINT) AS not_whole, true AS tight
+FROM (SELECT octet_length(encode(text)) + 1 AS size FROM documents WHERE text IS NOT NULL), container_specs GROUP BY ALL""",
     "p6_found": "WITH "
     + ", ".join(_VECTORS.format(t=t) for t in ("entity_vectors", "chunk_vectors"))
     + "SELECT DISTINCT * FROM ("
@@ -63,6 +92,7 @@ LEFT JOIN chunk_configs g USING (config_id), (SELECT fixed_size AS d FROM chunk_
 WHERE length(text) > coalesce(g.fixed_size, d)""",
     "p3_found": _RECORDS + "SELECT DISTINCT record_table, first_id, row_id FROM grouped WHERE row_id <> first_id",
     "p3_collapsed": _RECORDS + "SELECT record_table, first_id, count(*) AS copies FROM grouped GROUP BY record_table, file_id, k, first_id",
+    "p7_survivors": _SURVIVORS,
     "p7_found": _MEASURED
     + "SELECT first_id, min(row_id) AS row_id FROM best WHERE n > 1 AND complete = c AND extracted_at = a AND trust = t GROUP BY file_id, k, first_id",
 }

@@ -3,10 +3,12 @@
 Groups are rows of one file with names alike. A row is measured by how many of type, description and
 source_id are filled, by extracted_at, and by the trust of its run.
 
-* Rows that a later row of the same group with the same filled fields and the same trust replaces leave
-  first (of several at one time the smallest row_id stays). What is left is at most 8 filled sets times the
-  number of ranks, however large the group, and is found by an aggregation that combines before the shuffle.
-* Those candidates are peeled into dominance layers (Pareto over completeness, recency, trust).
+* All rows of a group are peeled into dominance layers (Pareto over completeness, recency, trust). Their distinct
+  measures lie sorted by group and time over range partitions, and a group may reach over many: what a stretch of a
+  group does to the layers after it is a small matrix, so stretches are worked on apart and their matrices chained.
+* Of the rows with the same filled fields and trust the latest (of several the smallest row_id) stands in the lowest
+  layer, so only these can give a value: at most 8 filled sets times the number of ranks, however large the group.
+  They are found by an aggregation that combines before the shuffle.
 * Policy: the survivor is the first layer's row with the most filled fields, then the latest, then the most
   trusted, then the smallest row_id. Its unfilled fields come from the next rows in the order of layer, then
   of the same policy.
@@ -19,10 +21,16 @@ that is repeated makes no second row of a group, though ``size`` counts it; extr
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import alike_key, is_blank, strip
+from graphloom.session import cut, task_count
 
 # Strings that stand for no value, in folded form without punctuation around them.
 PLACEHOLDERS = (
@@ -58,81 +66,181 @@ def measured(entities: DataFrame, runs: DataFrame) -> DataFrame:
     )
     rows = rows.join(rank, "run_id", "left").drop("run_id")
     bits = [F.col(c).isNotNull().cast("int") for c in ("type", "description", "source_id")]
-    return rows.withColumn("filled", bits[0] + 2 * bits[1] + 4 * bits[2]).withColumn("complete", sum(bits[1:], bits[0]))
+    rows = rows.withColumn("filled", bits[0] + 2 * bits[1] + 4 * bits[2]).withColumn("complete", sum(bits[1:], bits[0]))
+    at = F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(-(2**62)))
+    return rows.withColumn("at", at).withColumn("trust", F.coalesce(F.col("trust").cast("bigint"), F.lit(-(2**62))))
+
+
+Cell = tuple[int, int]  # completeness, trust
+
+
+Point = tuple[int, int, int, int]  # filled fields, completeness, trust, time
+
+
+def chain(points: Iterable[Point], state: dict[Cell, int]) -> Iterator[int]:
+    """The layer of each point, latest, then fullest, then most trusted first; ``state`` has the deepest layer of each
+    cell so far, and is kept up to date. A layer is one more than the deepest that dominates it; points of one
+    measure share theirs."""
+    before, layer = None, 0
+    for _, complete, trust, at in points:
+        if (complete, trust, at) != before:
+            layer = 1 + max((v for (c, t), v in state.items() if c >= complete and t >= trust), default=0)
+            state[complete, trust] = layer
+            before = (complete, trust, at)
+        yield layer
+
+
+def transfer(points: Iterable[Point]) -> dict[Cell, dict[Cell, int]]:
+    """What a stretch of points does to later ones: for each of its cells the longest chain that ends there, by the
+    cell it begins below."""
+    rows: dict[Cell, dict[Cell, int]] = {}
+    before = None
+    for _, complete, trust, at in points:
+        if (complete, trust, at) == before:
+            continue
+        before = (complete, trust, at)
+        row = {(complete, trust): 0}
+        for (c, t), other in rows.items():
+            if c >= complete and t >= trust:
+                for cell, length in other.items():
+                    row[cell] = max(row.get(cell, 0), length)
+        rows[complete, trust] = {cell: length + 1 for cell, length in row.items()}
+    return rows
+
+
+def carried(state: dict[Cell, int], stretch: dict[Cell, dict[Cell, int]]) -> dict[Cell, int]:
+    """The state after a stretch."""
+    entry = {cell: max((v for (c, t), v in state.items() if c >= cell[0] and t >= cell[1]), default=0) for cell in stretch}
+    return state | {cell: max(entry[begin] + length for begin, length in row.items()) for cell, row in stretch.items()}
+
+
+_GROUP = ["file_id", "name_key"]
+_EDGES = T.StructType([T.StructField("place", T.IntegerType()), *[T.StructField(g, T.StringType()) for g in _GROUP], T.StructField("stretch", T.BinaryType())])
+_LAYERS = T.StructType(
+    [
+        *[T.StructField(g, T.StringType()) for g in _GROUP],
+        T.StructField("filled", T.IntegerType()),
+        T.StructField("trust", T.LongType()),
+        T.StructField("layer", T.IntegerType()),
+    ]
+)
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list, bool]]:
+    """(place, file, name), its points and whether it is the last of its partition; one group at a time."""
+    key, points = None, []
+    for batch in batches:
+        for row in zip(*[batch[c] for c in ("place", *_GROUP, "filled", "complete", "trust", "at")], strict=True):
+            if row[:3] != key:
+                if key:
+                    yield key, points, False
+                key, points = row[:3], []
+            points.append(row[3:])
+    if key:
+        yield key, points, True
+
+
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first and the last group of a partition, which may go on elsewhere."""
+    first = True
+    for key, points, last in _stretches(batches):
+        if first or last:
+            yield pd.DataFrame([(*key, pickle.dumps(transfer(points)))], columns=_EDGES.names)
+        first = False
+
+
+def _starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """For one group: the state that each of its stretches but the first begins with."""
+    rows = rows.sort_values("place")
+    state: dict[Cell, int] = {}
+    out = []
+    for row in rows.itertuples(index=False):
+        if state:
+            out.append((*row[:3], pickle.dumps(state)))
+        state = carried(state, pickle.loads(row[3]))
+    return pd.DataFrame(out, columns=_EDGES.names)
+
+
+def layers(rows: DataFrame) -> DataFrame:
+    """(file_id, name_key, filled, trust, layer): the lowest layer of each filled set and trust in a group, and under
+    filled -1 the number of the group's layers. Groups with one measure only are left out."""
+    spark = rows.sparkSession
+    order = [*_GROUP, F.desc("at"), F.desc("complete"), F.desc("trust")]  # rows of one measure stay together
+    points = rows.select(*_GROUP, "filled", "complete", "trust", "at").distinct()
+    points = points.repartitionByRange(task_count(spark), *order).sortWithinPartitions(*order)
+    points = cut(points.withColumn("place", F.spark_partition_id()))
+    # At most one state per partition, of as many numbers as a group has cells.
+    starts = points.mapInPandas(_edges, _EDGES).groupBy(*_GROUP).applyInPandas(_starts, _EDGES).collect()
+    shared = spark.sparkContext.broadcast({(r["place"], r["file_id"], r["name_key"]): bytes(r["stretch"]) for r in starts})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for key, points, last in _stretches(batches):
+            held = shared.value.get(key)
+            if len(points) == 1 and not held and not last:
+                continue
+            state = pickle.loads(held) if held else {}
+            seen: dict[Cell, int] = {}
+            for (filled, _, trust, _), layer in zip(points, chain(points, state), strict=True):
+                seen.setdefault((filled, trust), layer)
+            out.extend((*key[1:], f, t, layer) for (f, t), layer in seen.items())
+            out.append((*key[1:], -1, 0, max(state.values())))
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=_LAYERS.names)
+                out = []
+        yield pd.DataFrame(out, columns=_LAYERS.names)
+
+    found = points.mapInPandas(run, _LAYERS)
+    least = F.when(F.col("filled") < 0, F.max("layer")).otherwise(F.min("layer"))
+    return found.groupBy(*_GROUP, "filled", "trust").agg(least.alias("layer"))
+
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """One row per group: ``size``, ``first_id``, ``last_id`` and the array ``rows`` of its candidates (bounded)."""
-    best = F.max(
-        F.struct(
-            F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(-(2**62))).alias("at"),
-            (-F.col("row_id")).alias("minus_id"),
-            "type",
-            "description",
-            "source_id",
-        )
-    )
-    cells = rows.groupBy("file_id", "name_key", "filled", "complete", "trust").agg(
+    """One row per group of two rows or more: ``size``, ``first_id``, ``layers`` and the array ``order`` of its
+    candidates, by layer and then policy."""
+    best = F.max(F.struct("at", (-F.col("row_id")).alias("minus_id"), "type", "description", "source_id"))
+    cells = rows.groupBy(*_GROUP, "filled", "complete", "trust").agg(
         best.alias("b"), F.count(F.lit(1)).alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high")
     )
+    found = layers(rows)
+    deepest = found.where(F.col("filled") < 0).select(*_GROUP, F.col("layer").alias("layers"))
+    cells = cells.join(found, [*_GROUP, "filled", "trust"], "left")
     one = F.struct(
-        F.col("complete"),
-        F.col("b.at").alias("at"),
-        F.coalesce(F.col("trust").cast("bigint"), F.lit(-(2**62))).alias("trust"),
-        F.col("b.minus_id").alias("minus_id"),
+        F.coalesce("layer", F.lit(1)).alias("layer"),
+        (-F.col("complete")).alias("minus_complete"),
+        (-F.col("b.at")).alias("minus_at"),
+        (-F.col("trust")).alias("minus_trust"),
+        (-F.col("b.minus_id")).alias("row_id"),
         F.col("b.type").alias("type"),
         F.col("b.description").alias("description"),
         F.col("b.source_id").alias("source_id"),
     )
-    return cells.groupBy("file_id", "name_key").agg(
-        F.sum("n").alias("size"), F.min("low").alias("first_id"), F.max("high").alias("last_id"), F.sort_array(F.collect_list(one), False).alias("rows")
+    groups = cells.groupBy(*_GROUP).agg(
+        F.sum("n").alias("size"), F.min("low").alias("first_id"), F.max("high").alias("last_id"), F.array_sort(F.collect_list(one)).alias("order")
     )
-
-
-def _behind(a: Column, b: Column) -> Column:
-    """b dominates a."""
-    no_worse = (b["complete"] >= a["complete"]) & (b["at"] >= a["at"]) & (b["trust"] >= a["trust"])
-    return no_worse & ((b["complete"] > a["complete"]) | (b["at"] > a["at"]) | (b["trust"] > a["trust"]))
-
-
-def layered(groups: DataFrame) -> DataFrame:
-    """Adds ``order``: the candidates by layer, then policy. A candidate's layer is one more than the
-    highest of those that dominate it; sorted by policy, every dominator comes before what it dominates, so
-    one fold suffices."""
-    zero = F.expr("CAST(array() AS ARRAY<STRUCT<layer:INT,row:STRUCT<complete:INT,at:BIGINT,trust:BIGINT,minus_id:BIGINT,type:STRING,description:STRING,source_id:ARRAY<STRING>>>>)")
-
-    def step(done: Column, row: Column) -> Column:
-        above = F.filter(done, lambda d: _behind(row, d["row"]))
-        layer = F.coalesce(F.array_max(F.transform(above, lambda d: d["layer"])), F.lit(0)) + 1
-        return F.concat(done, F.array(F.struct(layer.cast("int").alias("layer"), row.alias("row"))))
-
-    # Policy order within a layer is kept by a second key: the place in the sorted candidates.
-    placed = F.aggregate("rows", zero, step)
-    keyed = F.transform(placed, lambda d, i: F.struct(d["layer"].alias("layer"), i.alias("i"), d["row"].alias("row")))
-    return groups.withColumn("order", F.array_sort(keyed))
+    groups = groups.where(F.col("first_id") < F.col("last_id")).drop("last_id")
+    return groups.join(deepest, _GROUP, "left").withColumn("layers", F.coalesce("layers", F.lit(1)))
 
 
 def survivors(entities: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per group of two rows or more: (file_id, first_id, size, row_id, type, description, source_id,
     layers, ideal). ``ideal`` says that the survivor is behind no row of its group in any respect."""
-    groups = layered(candidates(measured(entities, runs)).where(F.col("first_id") < F.col("last_id")))
 
     def first_filled(field: str) -> Column:
-        kept = F.filter("order", lambda d: d["row"][field].isNotNull())
-        return F.when(F.size(kept) > 0, kept[0]["row"][field])
-
-    top = F.col("order")[0]["row"]
-    ideal = F.forall("rows", lambda r: (r["complete"] <= top["complete"]) & (r["at"] <= top["at"]) & (r["trust"] <= top["trust"]))
-    # Candidates that equal the survivor in all three may differ in which fields are filled.
-    equal = F.filter("rows", lambda r: (r["complete"] == top["complete"]) & (r["at"] == top["at"]) & (r["trust"] == top["trust"]))
-    return groups.select(
+        kept = F.filter("order", lambda d: d[field].isNotNull())
+        return F.when(F.size(kept) > 0, kept[0][field])
+
+    top = F.col("order")[0]
+    ahead = ("minus_complete", "minus_at", "minus_trust")
+    return candidates(measured(entities, runs)).select(
         "file_id",
         "first_id",
         "size",
-        (-F.array_max(F.transform(equal, lambda r: r["minus_id"]))).alias("row_id"),
+        top["row_id"].alias("row_id"),
         first_filled("type").alias("type"),
         first_filled("description").alias("description"),
         first_filled("source_id").alias("source_id"),
-        F.array_max(F.transform("order", lambda d: d["layer"])).alias("layers"),
-        ideal.alias("ideal"),
+        "layers",
+        F.forall("order", lambda r: (r[ahead[0]] >= top[ahead[0]]) & (r[ahead[1]] >= top[ahead[1]]) & (r[ahead[2]] >= top[ahead[2]])).alias("ideal"),
     )

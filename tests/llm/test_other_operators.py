@@ -111,6 +111,42 @@ def test_ideal_rows_match_brute_force(spark):
     assert {(r["first_id"], r["row_id"]) for r in found.where("ideal").collect()} == want
 
 
+def test_layers_are_those_of_the_whole_group(spark):
+    rows = [
+        (1, "f", "Ann", "P", "d", None, 1, day(10), 0), (2, "f", "Ann", "P", "d", None, 1, day(9), 0),
+        (3, "f", "Ann", "P", None, ["x"], 1, day(8), 0), (4, "f", "Ann", None, None, ["y"], 1, day(9.5), 0),
+    ]
+    got = survivor.survivors(spark.createDataFrame(rows, ENT), spark.createDataFrame([(1, 1)], RUN)).collect()[0]
+    assert (got["row_id"], got["source_id"], got["layers"]) == (1, ["y"], 3)
+
+
+@pytest.mark.parametrize("tasks", [4, 40])
+def test_survivors_match_brute_force(spark, monkeypatch, tasks):
+    """Also where a group reaches over many partitions."""
+    monkeypatch.setattr(survivor, "task_count", lambda spark: tasks)
+    rng = random.Random(12)
+    rows = [
+        (i, "f", f"n{min(rng.randint(0, 9), rng.randint(0, 9))}", rng.choice([f"P{i}", None]), rng.choice([f"d{i}", ""]), rng.choice([[f"c{i}"], []]), rng.randint(1, 4), day(rng.choice([None, *range(60)])), 0)
+        for i in range(250)
+    ]
+    groups = {}
+    for i, _, name, *fields, run, at, _ in rows:
+        kept = [f or None for f in fields]
+        groups.setdefault(name, []).append((i, kept, (sum(f is not None for f in kept), at or datetime.datetime.min, run)))
+    want = {}
+    for g in groups.values():
+        above = {m: {o for _, _, o in g if o != m and all(x >= y for x, y in zip(o, m))} for _, _, m in g}
+        depth = {}
+        for m in sorted(above, key=lambda m: len(above[m])):
+            depth[m] = 1 + max((depth[o] for o in above[m]), default=0)
+        order = sorted(g, key=lambda r: (depth[r[2]], -r[2][0], datetime.datetime.max - r[2][1], -r[2][2], r[0]))
+        values = [next((r[1][n] for r in order if r[1][n]), None) for n in range(3)]
+        if len(g) > 1:
+            want[min(r[0] for r in g)] = (len(g), order[0][0], *values, max(depth.values()), all(a >= b for r in g for a, b in zip(order[0][2], r[2])))
+    got = survivor.survivors(spark.createDataFrame(rows, ENT), spark.createDataFrame([(n, n) for n in range(1, 5)], RUN)).collect()
+    assert {r["first_id"]: (r["size"], r["row_id"], r["type"], r["description"], r["source_id"], r["layers"], r["ideal"]) for r in got} == want
+
+
 # --- packing ----------------------------------------------------------------------------------------------
 
 
@@ -159,6 +195,18 @@ def test_packing_is_complete_and_fits(spark):
     assert {r["spec_id"] for r in packing.fill(packed, specs).collect()} == {1, 2}
 
 
+def test_rows_under_one_id_or_none_keep_their_own_containers(spark):
+    rows = [(1, "x" * 1000)] * 3 + [(None, "y" * 1000)] * 3 + [(None, "z" * 30)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    specs = spark.createDataFrame([(n, 100 + n) for n in range(130)], "spec_id int, capacity_tokens int")
+    packed = packing.pack(df, specs, group_items=7).groupBy("spec_id", "container").agg({"tokens": "sum"}).collect()
+    loads = {}
+    for r in packed:
+        assert r["sum(tokens)"] <= 100 + r["spec_id"]
+        loads[r["spec_id"]] = loads.get(r["spec_id"], 0) + r["sum(tokens)"]
+    assert loads == {n: 6 * 1001 + 40 * 31 for n in range(130)}
+
+
 # --- leaks ------------------------------------------------------------------------------------------------
 
 
