@@ -1,8 +1,8 @@
 """Sentence units of texts in any language and script.
 
 A pushdown automaton runs over the marks of a paragraph: sentence terminators, quotation marks, brackets,
-list markers, and the spaces of scripts that end sentences with a space. Its stack holds the open quotations
-and brackets; inside them nothing ends. A full stop is judged by a trie of abbreviations, read backwards from
+list markers, and the spaces of scripts that end sentences with a space. Its stack holds the list levels and, above
+them, the open quotations and brackets; inside the latter nothing ends. A full stop is judged by a trie of abbreviations, read backwards from
 the stop, and by what follows it.
 
 * A blank line ends a unit, whatever is open; a single line break ends nothing, but for headings.
@@ -14,14 +14,15 @@ the stop, and by what follows it.
 * A paragraph that begins inside a quotation (its first mark closes one) is taken up inside it; one that ends
   inside stays open to its end. An opening mark that is never closed within a paragraph that goes on is void; at
   the end of a text it holds, however far, when it stands where one opens and none like it opens after it.
-* A stop after a list marker ends nothing. A marker counts when it begins a unit and follows in number.
+* A stop after a list marker ends nothing. A marker counts when it begins a unit and is the first of its kind (1, a, i,
+  2.1), which opens a level, or follows in number on an open level, which closes those above. Levels outlive paragraphs.
 * Thai, Lao, Khmer, Burmese and Tibetan letters: a space ends a unit, unless it stands next to a number or
   between speech and the words that go with it.
 
 Offsets are code points, 0-based, half-open, without white space at the ends. Defined cases: null, empty and
 blank texts give no unit; a text without any terminator is one unit; repeated rows of a chunk give its units
-once; a null chunk_id keeps its units under null; very long texts are run in one pass; extra columns are
-ignored.
+once; a null chunk_id keeps its units under null; a text costs a fixed number of passes, however long and whatever is
+left open in it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,8 +68,11 @@ _ALONE = set("prologue epilogue introduction preface foreword afterword contents
 _SMALL = set("a an the of and or in on at to for by from with de la le les des du et el los las y der die das und von zu im am".split())
 _WORD = re.compile(r"[^\W_][\w'’-]*")
 HEADING_LENGTH = 80
-#: An opening bracket that its paragraph never closes holds at the end of a text for so many code points.
-OPEN_END = 400
+# A list marker before its stop: numbers, small Roman numerals, or one small letter.
+_ITEM = re.compile(r"\(?(?:((?:\d{1,3}\.)*)(\d{1,3})|([ivxl]{1,7})|([a-z]))\Z")
+_LETTERED = re.compile(r"([ivxl]{1,7}|[a-z])\.\s+(?=[^\W\d_a-z])")
+#: Passes over a paragraph that look for marks that are never closed; a void one may bring another to light.
+PASSES = 3
 
 
 def _is_heading(line: str, before: str | None, after: str, width: int) -> bool:
@@ -156,40 +160,76 @@ def _skip(text: str, at: int, end: int) -> int:
     return at
 
 
+def _roman(text: str) -> int:
+    values = [{"i": 1, "v": 5, "x": 10, "l": 50}[c] for c in text]
+    return sum(-v if v < after else v for v, after in zip(values, [*values[1:], 0], strict=True))
+
+
+def _kinds(marker: re.Match) -> list[tuple[str, int]]:
+    """What a list marker may be: kinds of list, with its number in each."""
+    above, number, roman, letter = marker.groups()
+    kinds = [(f"{above}1", int(number))] if number else []
+    if letter or (roman and len(roman) == 1):
+        kinds.append(("a", ord(letter or roman) - ord("a") + 1))
+    if roman:
+        kinds.append(("i", _roman(roman)))
+    return kinds
+
+
 class _Run:
-    """The automaton over one paragraph ``text[begin:end]``."""
+    """The automaton over one paragraph ``text[begin:end]``. The stack holds (what closes it, where it was opened) for
+    marks, and below them (kind, number) for list levels."""
 
-    def __init__(self, text: str, begin: int, end: int, first: bool, void: frozenset[int]) -> None:
+    def __init__(self, text: str, begin: int, end: int, first: bool, void: frozenset[int], levels: tuple = ()) -> None:
         self.text, self.begin, self.end, self.void = text, begin, end, void
-        self.stack: list[tuple[str, int]] = []  # (closing marks, position of the opening one)
+        self.stack: list[tuple[str, int]] = list(levels)
+        self.depth = 0  # marks on the stack
         self.unit = _skip(text, begin, end)
         self.intro = False  # the outermost open quotation has words of its unit before it
         self.edge = False  # that quotation was open before the text began
-        self.item: int | None = None
         self.units: list[tuple[int, int]] = []
         if first:
             self._take_up()
 
+    @property
+    def levels(self) -> tuple:
+        return tuple(self.stack[: len(self.stack) - self.depth])
+
+    def _push(self, closers: str, at: int) -> None:
+        self.stack.append((closers, at))
+        self.depth += 1
+
+    def _close(self, mark: str) -> int | None:
+        """Closes the nearest mark that ``mark`` fits, and those above it, which were never closed; gives where it was
+        opened when none is open any more."""
+        for up in range(1, self.depth + 1):
+            closers, opened = self.stack[-up]
+            if mark in closers:
+                del self.stack[-up:]
+                self.depth -= up
+                return None if self.depth else opened
+        return None
+
     def _take_up(self) -> None:
         """At the start of a text: inside a quotation when the first mark of one closes it."""
         for m in _MARK.finditer(self.text, self.begin, self.end):
             mark = m["mark"]
             if not mark or mark in "()[]{}（）【】〔〕《》〈〉" or m.start() in self.void:
                 continue
-            kind = self._kind(m.start(), mark, [])
+            kind = self._kind(m.start(), mark, "", False)
             if kind == "open":
                 return
             if kind == "close":
-                self.stack.append((mark, -1))
+                self._push(mark, -1)
                 self.edge = True
                 return
 
-    def _kind(self, at: int, mark: str, stack: list) -> str:
-        """Whether a mark opens, closes or is neither, by the stack and by what stands around it."""
+    def _kind(self, at: int, mark: str, top: str, inside: bool) -> str:
+        """Whether a mark opens, closes or is neither, by what would close the top of the stack, whether any mark is
+        open, and what stands around it."""
         text = self.text
         before = text[at - 1] if at > self.begin else " "
         after = text[at + 1] if at + 1 < self.end else " "
-        top = stack[-1][0] if stack else ""
         if mark in "'’‘":
             if mark in top and not after.isalnum() and (mark != "'" or before in ".!?,…;:"):
                 return "close"
@@ -199,7 +239,7 @@ class _Run:
                 return "open"
             if (before.isspace() or before in "(“\"—") and (after.isalnum() or after in "¡¿"):
                 return "open"
-            return "close" if not stack and before in ".!?,…" and not after.isalnum() else "none"
+            return "close" if not inside and before in ".!?,…" and not after.isalnum() else "none"
         if mark in top:
             return "close"
         if mark == '"' or mark == "“":
@@ -227,19 +267,36 @@ class _Run:
             return text[_skip(text, at + 1, end) : end][:1].islower()
         return ch.islower() or ch in ",;:，；：、)]}"
 
+    def _item(self, at: int) -> bool:
+        """Whether a list marker stands between the start of the unit and the stop at ``at``; opens or moves its level."""
+        found = _ITEM.match(self.text, self.unit, at) if at - self.unit <= 12 else None
+        if not found:
+            return False
+        kinds = _kinds(found)
+        for up in range(1, len(self.stack) + 1):  # no mark is open here: all are levels
+            for kind, n in kinds:
+                if self.stack[-up] == (kind, n - 1):
+                    self.stack[-up:] = [(kind, n)]
+                    return True
+        for kind, n in kinds:
+            if n == 1:
+                self.stack.append((kind, n))
+                return True
+        return False
+
+    def _next_item(self, at: int) -> bool:
+        """Whether a marker in small letters stands at ``at`` that follows on an open level, or opens one below it."""
+        found = _LETTERED.match(self.text, at, self.end) if self.stack else None
+        return bool(found) and any(n == 1 or (kind, n - 1) in self.stack for kind, n in _kinds(_ITEM.match(found[1])))
+
     def _numbered(self, at: int) -> bool:
-        """A number before the stop at ``at``: a list marker, or an ordinal of a date."""
+        """A number before the stop at ``at``: an ordinal of a date."""
         text = self.text
         start = at
         while start > self.unit and text[start - 1].isdigit():
             start -= 1
         if start == at:
             return False
-        number = int(text[start:at][:9])
-        if start == self.unit and at - start <= 3:
-            if number == 1 or (self.item is not None and number == self.item + 1):
-                self.item = number
-                return True
         ahead = re.match(r"\s+([^\W\d_]+)", text[at + 1 : at + 40])
         if not ahead:
             return False
@@ -250,7 +307,7 @@ class _Run:
     def _stop(self, start: int, at: int, run: str) -> int:
         """A terminator run outside all quotations and brackets; gives the position to go on from."""
         text, end = self.text, self.end
-        while at < end and (text[at] in ALL_CLOSING or (text[at] in "\"'’“" and self._kind(at, text[at], [("", 0)]) == "close")):
+        while at < end and (text[at] in ALL_CLOSING or (text[at] in "\"'’“" and self._kind(at, text[at], "", True) == "close")):
             at += 1
         if any(c in WIDE for c in run):
             nxt = _skip(text, at, end)
@@ -268,9 +325,11 @@ class _Run:
                 self._cut(at)
             return at
         nxt = _skip(text, at, end)
-        if nxt >= end or self._goes_on(nxt):
+        if nxt >= end or (self._goes_on(nxt) and not self._next_item(nxt)):
             return at
         if run == ".":
+            if self._item(start):
+                return at
             word = abbreviation(text, start)
             if word == "never" or (word == "numbered" and text[nxt].isdigit()):
                 return at
@@ -349,6 +408,32 @@ class _Run:
             return
         self._cut(at)
 
+    def _mark(self, at: int, mark: str) -> tuple[str, int | None]:
+        """Takes a mark: its kind, and for one that closes the outermost, where that was opened."""
+        kind = self._kind(at, mark, self.stack[-1][0] if self.depth else "", self.depth > 0)
+        if kind == "open":
+            if not self.depth:
+                self.intro = at > self.unit and any(c.isalnum() for c in self.text[self.unit : at])
+                self.edge = False
+            self._push(CLOSERS.get(mark, mark), at)
+            return kind, None
+        return kind, self._close(mark) if kind == "close" else None
+
+    def unclosed(self) -> list[int]:
+        """Where the marks stand that the paragraph leaves open, outermost first."""
+        for m in _MARK.finditer(self.text, self.begin, self.end):
+            if m["mark"] and m.start() not in self.void:
+                kind = self._kind(m.start(), m["mark"], self.stack[-1][0] if self.depth else "", self.depth > 0)
+                if kind == "open":
+                    self._push(CLOSERS.get(m["mark"], m["mark"]), m.start())
+                elif kind == "close":
+                    self._close(m["mark"])
+        return self.left()
+
+    def left(self) -> list[int]:
+        """Where the marks were opened that are on the stack."""
+        return [at for _, at in self.stack[len(self.stack) - self.depth :] if at >= 0]
+
     def run(self) -> list[tuple[int, int]]:
         text, at = self.text, self.begin
         while True:
@@ -357,60 +442,65 @@ class _Run:
                 break
             at = m.end()
             if m["stop"]:
-                if not self.stack:
+                if not self.depth:
                     at = self._stop(m.start(), at, m["stop"])
             elif m["space"]:
-                if not self.stack:
+                if not self.depth:
                     self._space(m.start(), at)
             elif m.start() not in self.void:
-                mark = m["mark"]
-                kind = self._kind(m.start(), mark, self.stack)
-                if kind == "open":
-                    if not self.stack:
-                        self.intro = m.start() > self.unit and any(c.isalnum() for c in text[self.unit : m.start()])
-                        self.edge = False
-                    self.stack.append((CLOSERS.get(mark, mark), m.start()))
-                elif kind == "close":
-                    # Close the nearest level that this mark fits; levels above it were never closed.
-                    for level in range(len(self.stack) - 1, -1, -1):
-                        if mark in self.stack[level][0]:
-                            _, opened = self.stack[level]
-                            del self.stack[level:]
-                            if not self.stack:
-                                at = self._closed(at, opened, opened >= 0 and text[opened] in BRACKETS)
-                            break
+                _, opened = self._mark(m.start(), m["mark"])
+                if opened is not None:
+                    at = self._closed(at, opened, opened >= 0 and text[opened] in BRACKETS)
         self._cut(self.end)
         return self.units
 
 
-def _holds(text: str, begin: int, at: int, end: int) -> bool:
-    """Whether an opening mark left open at the end of a text is one, by what stands around it and what follows.
-    A single one may be an apostrophe; far from the end it has to begin a sentence or follow words that introduce it."""
-    mark = text[at]
-    if mark in BRACKETS:
-        return end - at <= OPEN_END
-    before = text[begin:at].rstrip()
-    glued = at > begin and text[at - 1].isalnum() and text[at - 1].isascii()
-    if mark in "'‘":
-        again = bool(re.search(r"(?<=[^\S\n])['‘](?=\w)", text[at + 1 : end]))
-    else:
-        again = mark in text[at + 1 : end].replace("\n" + mark, "")  # a speech may open anew on each line
-    if glued or again or (mark in "\"“" and text[at + 1 : at + 2].isspace()):
-        return mark in "'‘" and end - at <= OPEN_END
-    if mark in "'‘" and end - at > OPEN_END:
-        return not before or before[-1] in ".!?…,:—–" or before[-1] in WIDE or before[-1] in ALL_CLOSING
-    return True
-
-
-def _paragraph(text: str, begin: int, end: int, first: bool, last: bool) -> list[tuple[int, int]]:
-    void: frozenset[int] = frozenset()
-    while True:
-        run = _Run(text, begin, end, first, void)
-        units = run.run()
-        open_at = [p for _, p in run.stack if p >= 0]
-        if not open_at or (last and _holds(text, begin, open_at[0], end)):
-            return units
-        void |= {open_at[0]}
+_WORD_QUOTE = re.compile(r"(?<=[^\S\n])['‘](?=\w)")
+
+
+def _held(text: str, begin: int, end: int, places: list[int]) -> int:
+    """How many of the ``places`` of marks left open at the end of a text are void: those before the first that is one
+    by what stands around it and what follows. It has to stand where a mark opens, and none like it may open after
+    it; a single one, which may be an apostrophe, has to begin a sentence or follow words that introduce it."""
+    again: dict[str, int] = {}  # the last place of each mark; a speech may open anew on each line
+    for m in _MARK.finditer(text, begin, end):
+        if m["mark"] and text[m.start() - 1 : m.start()] != "\n":
+            again[m["mark"]] = m.start()
+    single = max((m.start() for m in _WORD_QUOTE.finditer(text, begin, end)), default=-1)
+    for i, at in enumerate(places):
+        mark = text[at]
+        glued = at > begin and text[at - 1].isalnum() and text[at - 1].isascii()
+        later = single if mark in "'‘" else again.get(mark, -1)
+        if glued or later > at or (mark in "\"“" and text[at + 1 : at + 2].isspace()):
+            continue
+        if mark in BRACKETS and at > begin and not text[at - 1].isspace() and mark in "([{":
+            continue
+        if mark in "'‘":
+            back = at - 1
+            while back >= begin and text[back].isspace():
+                back -= 1
+            if back >= begin and not (text[back] in ".!?…,:—–" or text[back] in WIDE or text[back] in ALL_CLOSING):
+                continue
+        return i
+    return len(places)
+
+
+def _paragraph(text: str, begin: int, end: int, first: bool, last: bool, levels: tuple) -> _Run:
+    """The run over a paragraph, done. Most leave nothing open, and take one pass."""
+    run = _Run(text, begin, end, first, frozenset(), levels)
+    run.run()
+    places, void = run.left(), frozenset()
+    for _ in range(PASSES):
+        if last and places:
+            places = places[: _held(text, begin, end, places)]
+        if not places:
+            break
+        void |= frozenset(places)
+        places = _Run(text, begin, end, first, void).unclosed()
+    if void:
+        run = _Run(text, begin, end, first, void, levels)
+        run.run()
+    return run
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
@@ -433,12 +523,15 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     parts = [(a, b) for a, b in parts if text[a:b].strip()]
     out: list[tuple[int, int]] = []
     whole = {(start, end - 1) for start, end in headings}
+    levels: tuple = ()
     for i, (a, b) in enumerate(parts):
         if (a, b) in whole:  # one unit, whatever stands in it
             a = _skip(text, a, b)
             out.append((a, a + len(text[a:b].rstrip())))
             continue
-        out.extend(_paragraph(text, a, b, i == 0, i == len(parts) - 1))
+        run = _paragraph(text, a, b, i == 0, i == len(parts) - 1, levels)
+        levels = run.levels
+        out.extend(run.units)
     return out
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from graphloom.llm.sentences import abbreviation, sentence_spans, sentences
@@ -89,3 +91,24 @@ def test_a_long_speech_that_the_edge_cuts_off_is_one_unit(speech):
 def test_marks_that_open_nothing_at_the_end():
     for text in ("“We go. “Now,” said Ann. Bo left.", "It was 5\" long. Ann left."):
         assert len(sentence_spans(text)) > 1
+
+
+def test_list_levels():
+    text = "1. Cut it.\n\n2. Fry it.\n\n2.1. Stir. 2.2. Turn. 3. Eat."
+    assert [text[a:b] for a, b in sentence_spans(text)] == ["1. Cut it.", "2. Fry it.", "2.1. Stir.", "2.2. Turn.", "3. Eat."]
+    text = "i. Cut it. ii. Fry it. iii. Eat. It was ii. Then."
+    assert [text[a:b] for a, b in sentence_spans(text)] == ["i. Cut it.", "ii. Fry it.", "iii. Eat.", "It was ii.", "Then."]
+    text = "1. Cut. a. Thin. b. Thick. 2. Fry. a. Hot. 4. Ann."
+    assert [text[a:b] for a, b in sentence_spans(text)] == ["1. Cut.", "a. Thin.", "b. Thick.", "2. Fry.", "a. Hot.", "4.", "Ann."]
+
+
+def test_marks_that_are_never_closed_cost_no_more_passes():
+    text = "“word ( foo. " * 20_000
+    began = time.process_time()
+    spans = sentence_spans(text)
+    assert time.process_time() - began < 20 and spans[-1][1] == len(text.rstrip())
+
+
+@pytest.mark.parametrize("tail", ["Go on. (He never came. Bo left. " + "It rose again. " * 40 + "Now", "Go on. (He never came. Now"])
+def test_an_open_bracket_is_judged_by_its_context(tail):
+    assert [tail[a:b] for a, b in sentence_spans(tail)] == ["Go on.", tail[7:]]
