@@ -50,6 +50,41 @@ def test_equal_vectors_and_small_tables(spark):
     assert [tuple(r) for r in two] == [("u1", "u2")]
 
 
+def test_multiples_of_a_vector_and_ties(spark):
+    rng = np.random.default_rng(4)
+    one = np.round(rng.normal(size=64) * 8)
+    rows = {f"a{n:02d}": (one * (n + 1)).tolist() for n in range(12)} | {f"u{n}": rng.normal(size=64).tolist() for n in range(9)}
+    # 200 vectors at one distance from z.
+    base = np.zeros(64)
+    base[0] = 1
+    rows["z"] = base.tolist()
+    for n in range(63):
+        v = base.copy()
+        v[n + 1] = 1
+        rows[f"t{n:02d}"] = v.tolist()
+    got = {}
+    df = spark.createDataFrame(list(rows.items()), "id string, vec array<float>")
+    for r in neighbours.nearest(df).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    assert got["a11"] == ["a00", "a01", "a02", "a03", "a04"] and got["a00"] == ["a01", "a02", "a03", "a04", "a05"]
+    assert got["z"] == ["t00", "t01", "t02", "t03", "t04"]
+
+
+def test_second_centroids_divide_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 64))
+    good = {f"v{i}": (centres[i % 12] + 0.4 * rng.normal(size=64)).tolist() for i in range(600)}
+    df = spark.createDataFrame(list(good.items()), "id string, vec array<float>")
+    codec = neighbours.fit(np.array(list(good.values())), 600, cells=40, most=4)
+    assert len(codec.coarse) == 4 and len(codec.second) == 10
+    x = np.array(list(good.values()), dtype=np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert len(set(codec.own(x).tolist())) >= 12
+    got = {(r["id"], r["other"]) for r in neighbours.nearest(df, cells=40, most=4, probes=8).collect()}
+    want = {(i, o) for i, os in brute_lists(good, 5).items() for o in os}
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_blocks_of_a_heavy_cell_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_MEMBERS", 16)
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 32)
