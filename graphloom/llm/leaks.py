@@ -10,8 +10,8 @@ Words are case-folded runs of letters and digits. For items in Chinese a window
 letters or digits instead; a second index over single signs holds the documents with Han characters (or all,
 should a Chinese item have a window without any).
 
-The items are the stated query set. Their number is counted first, and they are broadcast in blocks of at most
-``ITEM_BLOCK``; every block meets all documents.
+The items are the stated query set. Their length is summed first, and they are broadcast, as numbers of words, in
+blocks of about ``ITEM_CHARS``; a shard is indexed once, and every block is searched in it.
 
 Defined cases: null or empty texts match nothing; an item shorter than a window cannot leak; copies of a
 document and repeated items all count; a document longer than a shard is indexed in sections that share
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ SIGNS = 20
 #: Words (or signs) of one shard; its index takes some 100 bytes each.
 SHARD_WORDS = 400_000
 SAMPLE = 16
-#: Items that are broadcast at once.
-ITEM_BLOCK = 20_000
+#: Characters of the items that are gathered and broadcast at once; their words take four bytes each in a task.
+ITEM_CHARS = 20_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _SIGN = re.compile(r"[^\W_]")
@@ -164,28 +165,55 @@ def is_chinese(lang: str | None, text: str) -> bool:
     return tag in ("", "und") and bool(_HAN.search(text)) and not _KANA.search(text)
 
 
-def windows(items: list[tuple[int, str | None, str | None]], signs: bool) -> dict[tuple[str, ...], list[int]]:
-    """Every distinct window of the items of one kind, with the places of those items in the list."""
-    size = SIGNS if signs else WORDS
-    out: dict[tuple[str, ...], list[int]] = {}
-    for i, (_, lang, text) in enumerate(items):
-        if not text or is_chinese(lang, text) != signs:
-            continue
-        words = tokens(text, signs)
-        for at in range(len(words) - size + 1):
-            holders = out.setdefault(tuple(words[at : at + size]), [])
-            if not holders or holders[-1] != i:
-                holders.append(i)
-    return out
+@dataclass
+class Items:
+    """The items of one block and kind: the words they have, their numbers (from 1) item after item, and of every window
+    its start and its item's id."""
+
+    words: list[str]
+    text: np.ndarray
+    starts: np.ndarray
+    ids: list
+    size: int
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str | None, str | None]], signs: bool) -> Items:
+        size, known = SIGNS if signs else WORDS, {}
+        text: list[int] = []
+        starts: list[int] = []
+        ids: list = []
+        for item_id, lang, body in items:
+            if body and is_chinese(lang, body) == signs:
+                found = [known.setdefault(w, len(known) + 1) for w in tokens(body, signs)]
+                many = max(0, len(found) - size + 1)
+                starts.extend(range(len(text), len(text) + many))
+                ids.extend([item_id] * many)
+                if many:
+                    text.extend(found)
+        return cls(list(known), np.array(text, dtype=np.int32), np.array(starts, dtype=np.int64), ids, size)
+
+    def patterns(self, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(window, its words by ``numbers``) of the windows whose words all have one."""
+        get = numbers.get
+        own = np.array([0, *[get(w, 0) for w in self.words]], dtype=np.int64)[self.text]
+        lacking = np.concatenate(([0], np.cumsum(own == 0)))
+        kept = np.flatnonzero(lacking[self.starts + self.size] == lacking[self.starts])
+        return kept, own[self.starts[kept][:, None] + np.arange(self.size)]
+
+    @property
+    def without_han(self) -> bool:
+        """Whether some window has no Han character."""
+        han = np.array([0, *[bool(_HAN.search(w)) for w in self.words]], dtype=np.int64)[self.text]
+        total = np.concatenate(([0], np.cumsum(han)))
+        return bool((total[self.starts + self.size] == total[self.starts]).any())
 
 
 class _Shard:
     """Documents of one index, up to ``limit`` words."""
 
-    def __init__(self, wanted: dict[tuple[str, ...], list[int]], signs: bool, limit: int) -> None:
+    def __init__(self, wanted: list[Items], signs: bool, limit: int) -> None:
         self.signs, self.size, self.limit = signs, SIGNS if signs else WORDS, limit
-        self.holders = list(wanted.values())
-        self.wanted = list(wanted)
+        self.wanted = [items for items in wanted if len(items.starts)]
         self.clear()
 
     def clear(self) -> None:
@@ -215,28 +243,22 @@ class _Shard:
                 yield from self.flush()
 
     def flush(self) -> Iterator[tuple[int, int, int, int]]:
-        """(document, item place, char start, char end), merged; the shard is empty afterwards."""
-        if self.sections and self.wanted:
-            yield from self._search()
+        """(document, item, char start, char end), merged; the shard is empty afterwards."""
+        index = None
+        for items in self.wanted if self.sections else []:
+            # A window with a word that the shard lacks cannot occur: only the others are searched.
+            windows, patterns = items.patterns(self.ids)
+            if len(windows):
+                index = index or FMIndex(self.sections, len(self.ids))
+                yield from self._search(index, items, windows, patterns)
         self.clear()
 
-    def _search(self) -> Iterator[tuple[int, int, int, int]]:
-        get = self.ids.get
-        # A window with a word that the shard lacks cannot occur: only the others are searched.
-        rows, places = [], []
-        for i, window in enumerate(self.wanted):
-            numbers = [get(w, 0) for w in window]
-            if all(numbers):
-                rows.append(numbers)
-                places.append(i)
-        if not rows:
-            return
-        index = FMIndex(self.sections, len(self.ids))
-        which, low, high = index.search(np.array(rows, dtype=np.int64))
+    def _search(self, index: FMIndex, items: Items, windows: np.ndarray, patterns: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        which, low, high = index.search(patterns)
         if not len(which):
             return
         counts = high - low
-        owner = np.repeat(which, counts)
+        owner = np.repeat(windows[which], counts)
         offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         at = index.locate(np.repeat(low, counts) + offset)
         section = np.searchsorted(index.starts, at, side="right") - 1
@@ -244,8 +266,7 @@ class _Shard:
         for o, s, p in zip(owner.tolist(), section.tolist(), at.tolist(), strict=True):
             doc, begin = self.origin[s]
             word = begin + p - int(index.starts[s])
-            for item in self.holders[places[o]]:
-                hits.setdefault((doc, item), []).append(word)
+            hits.setdefault((doc, items.ids[o]), []).append(word)
         spots: dict[int, list[tuple[int, int]]] = {}
         pattern = _SIGN if self.signs else _WORD
         for (doc, item), begins in hits.items():
@@ -253,7 +274,7 @@ class _Shard:
             if doc not in spots:
                 spots[doc] = [m.span() for m in pattern.finditer(text)]
             span = spots[doc]
-            begins.sort()
+            begins = sorted(set(begins))
             first = last = begins[0]
             for b in begins[1:] + [None]:
                 if b is None or b > last + self.size:
@@ -272,16 +293,11 @@ SPANS = T.StructType(
 )
 
 
-def _searcher(shared, limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _searcher(blocks: list, limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value
-        wanted = windows(items, True)
-        by_word, by_sign = _Shard(windows(items, False), False, limit), _Shard(wanted, True, limit)
-        all_signs = any(not _HAN.search("".join(w)) for w in wanted)
-
-        def frame(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
-            return pd.DataFrame([(d, items[i][0], a, b) for d, i, a, b in rows], columns=SPANS.names)
-
+        both = [shared.value for shared in blocks]
+        by_word, by_sign = _Shard([b[0] for b in both], False, limit), _Shard([b[1] for b in both], True, limit)
+        all_signs = any(items.without_han for items in by_sign.wanted)
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -289,25 +305,24 @@ def _searcher(shared, limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
                     rows.extend(by_word.add(doc_id, text))
                 if by_sign.wanted and (all_signs or _HAN.search(text)):
                     rows.extend(by_sign.add(doc_id, text))
-            yield frame(rows)
-        yield frame([*by_word.flush(), *by_sign.flush()])
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "char_start", "char_end"])
+        yield pd.DataFrame([*by_word.flush(), *by_sign.flush()], columns=["doc_id", "item_id", "char_start", "char_end"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """(doc_id, item_id, char_start, char_end): the spans of documents that repeat an item."""
+def leaks(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """(doc_id, item_id, char_start, char_end): the spans of documents that repeat an item. One pass over the documents."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.length("text") > 0)
     items = items.select("item_id", "lang", "text").where(F.length("text") > 0)
-    blocks = max(1, -(-items.count() // item_block))
-    out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        found = docs.mapInPandas(_searcher(shared, shard_words), SPANS)
-        out = found if out is None else out.unionByName(found)
-    return out
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    count = max(1, -(-chars // item_chars))
+    blocks = []
+    for block in range(count):
+        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()]
+        blocks.append(spark.sparkContext.broadcast((Items.of(part, False), Items.of(part, True))))
+    return docs.mapInPandas(_searcher(blocks, shard_words), SPANS)
 
 
 def removals(spans: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ def test_suffix_array_and_search():
     assert found == {k: sorted(v) for k, v in want.items()}
 
 
-@pytest.mark.parametrize(("shard", "block"), [(400_000, 20_000), (40, 2)])
+@pytest.mark.parametrize(("shard", "block"), [(400_000, 20_000), (40, 200)])
 def test_leaks_match_brute_force(spark, shard, block):
     rng = random.Random(9)
     vocabulary = ["ann", "Bo's", "cy", "Straße", "d-e", "x1", "ΣΑΣ"]
