@@ -1,18 +1,19 @@
 """Mapping freely entered names to a reference list.
 
-Every reference entry (listed names, and aliases that lead to one) is put into a BK-tree under the
-unrestricted Damerau-Levenshtein distance, which is a true metric, so the triangle inequality may prune. The
-tree is cut into shards of bounded size; each distinct entered name probes every shard, each shard returns
-every entry within the threshold, and the nearest entry of all shards wins.
+Every reference entry (listed names, and aliases that lead to one) is put into BK-trees, one for each length, under
+the unrestricted Damerau-Levenshtein distance, which is a true metric, so the triangle inequality may prune. The
+entries are cut into shards of bounded size, whose trees are built once; each distinct entered name probes every shard,
+each shard returns every entry within the threshold, and the nearest entry of all shards wins. Names that have the
+words of an entry in any order are found by the same trees, with the words sorted, at distance 0.
 
 An entered name is compared in normal form: full case folding, accents and apostrophes dropped, words of
 letters and digits, titles and bracketed notes set aside. Its rotations stand for "Surname, First" and the
 like. Words that carry no name (the, of, ...) are compared both with and without. A shortened first name
 ("F. Surname", "Fer. Surname") matches when exactly one listed name goes with it.
 
-Rules that decide: nearer wins; at equal distance between entries of different names there is no match; the
-threshold is 2 edits, but 1 for forms of under 9 characters and 0 under 5. One edit may not consume a whole
-short word.
+Rules that decide: the same words win, then the same words but for notes and titles, then the nearer; at equal
+distance between entries of different names there is no match; the threshold is 2 edits, but 1 for forms of under 9
+characters and 0 under 5.
 
 Defined cases: blank names (null, white space) get no row; names without letters or digits are reported as
 ``(none)``, and so are names too long for any entry to be within the threshold; an alias
@@ -22,8 +23,9 @@ empty results, an empty list gives ``(none)`` for all; extra columns are ignored
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,10 +41,13 @@ NONE = "(none)"
 #: Entries of one shard. A reference list within it is one shard; a longer one becomes several.
 SHARD_ENTRIES = 20_000
 THRESHOLD = 2
-#: Forms that walk the tree together; bounds the memory of a walk.
+#: Forms that walk the trees together, and forms times entries of one walk; both bound its memory.
 BLOCK = 4096
-#: Forms times entries of one walk.
 BLOCK_CELLS = 8_000_000
+#: Pairs that are measured at once.
+PAIRS = 4096
+#: Names that meet a shard at once.
+BLOCK_NAMES = 20_000
 
 # Words set aside before comparing.
 TITLES = {
@@ -79,42 +84,58 @@ def words(name: str) -> list[str]:
     return [w.replace("ss", "ß") for w in fold_words(plain)]
 
 
-def distances(form: str, codes: np.ndarray, lengths: np.ndarray, alphabet: dict[str, int]) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distances (insert, delete, substitute, transpose; a metric) from
-    ``form`` to many strings at once. ``codes`` is (longest, strings), one column per string, 0 beyond its end.
-    """
-    n, (m, k) = len(form), codes.shape
-    far, at = n + m, np.arange(k)
-    d = np.full((n + 2, m + 2, k), far, dtype=np.int16)
-    d[1:, 1] = np.arange(n + 1, dtype=np.int16)[:, None]
-    d[1, 1:] = np.arange(m + 1, dtype=np.int16)[:, None]
-    flat = d.reshape(-1)
-    # last[c]: the last row whose letter is c; zero while there is none.
-    last = np.zeros(len(alphabet) + 2, dtype=np.int64)
-    for i, letter in enumerate(form, 1):
-        code = alphabet.get(letter, len(alphabet) + 1)
-        match = np.zeros(k, dtype=np.int64)
-        for j in range(1, m + 1):
-            other = codes[j - 1]
-            same = other == code
-            best = np.minimum(d[i + 1, j], d[i, j + 1]) + np.int16(1)
-            np.minimum(best, d[i, j] + ~same, out=best)
-            row = last[other]
-            swap = flat[(row * (m + 2) + match) * k + at] + (i + j - 1 - row - match)
-            np.minimum(best, swap, out=best, casting="unsafe")
-            d[i + 1, j + 1] = best
-            match[same] = j
-        last[code] = i
-    return d[n + 1, lengths + 1, at]
-
-
-def encoded(forms: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join(forms))), 1)}
+def _letters(forms: list[str], code: Callable[[str], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, row of each letter, code of each letter) of all forms, one after the other."""
     lengths = np.array([len(f) for f in forms], dtype=np.int64)
-    codes = np.zeros((int(lengths.max(initial=0)), len(forms)), dtype=np.int64)
-    for i, form in enumerate(forms):
-        codes[: len(form), i] = [alphabet[c] for c in form]
-    return codes, lengths, alphabet
+    points = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kinds, which = np.unique(points, return_inverse=True)
+    return lengths, np.repeat(np.arange(len(forms)), lengths), np.array([code(chr(k)) for k in kinds], dtype=np.int64)[which]
+
+
+def encoded(forms: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, lengths): one row of letter codes per form, 0 beyond its end; letters outside share the last code."""
+    lengths, rows, flat = _letters(forms, lambda c: alphabet.get(c, len(alphabet) + 1))
+    codes = np.zeros((len(forms), int(lengths.max(initial=0))), dtype=np.int64)
+    codes[rows, np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return codes, lengths
+
+
+def alphabet_of(forms: list[str]) -> dict[str, int]:
+    return {c: i for i, c in enumerate(sorted(set("".join(forms))), 1)}
+
+
+def distances(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray, letters: int) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distances (insert, delete, substitute, transpose; a metric) of many pairs at
+    once: row i of ``a`` and row i of ``b``, as ``encoded`` gives them. ``letters`` is over every code."""
+    out = np.empty(len(a), dtype=np.int64)
+    order = np.lexsort((a_len, b_len))
+    for start in range(0, len(order), PAIRS):
+        part = order[start : start + PAIRS]
+        n, m = int(a_len[part].max()), int(b_len[part].max())
+        k, at = len(part), np.arange(len(part))
+        left = np.ascontiguousarray(a[part, :n].T)
+        right = np.ascontiguousarray(b[part, :m].T)
+        spots = right * k + at
+        d = np.full((n + 2, m + 2, k), n + m, dtype=np.int16)
+        d[1:, 1] = np.arange(n + 1, dtype=np.int16)[:, None]
+        d[1, 1:] = np.arange(m + 1, dtype=np.int16)[:, None]
+        flat = d.reshape(-1)
+        last = np.zeros(letters * k, dtype=np.int64)  # the last row of each letter and pair; zero while there is none
+        for i in range(1, n + 1):
+            code = left[i - 1]
+            match = np.zeros(k, dtype=np.int64)
+            for j in range(1, m + 1):
+                same = right[j - 1] == code
+                best = np.minimum(d[i + 1, j], d[i, j + 1])
+                best += 1
+                np.minimum(best, d[i, j] + ~same, out=best)
+                row = last[spots[j - 1]]
+                swap = flat[(row * (m + 2) + match) * k + at] + (i + j - 1 - row - match)
+                np.minimum(best, swap, out=d[i + 1, j + 1], casting="unsafe")
+                match[same] = j
+            last[code * k + at] = i
+        out[part] = d[a_len[part] + 1, b_len[part] + 1, at]
+    return out
 
 
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789ß ")}
@@ -125,98 +146,107 @@ def letter_bags(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter counts in unary, so that a product of rows counts the common letters; and for each form the
     letters beyond what is counted so. Letters that are not listed share one place."""
     kinds = len(_LETTERS) + 1
-    counts = np.zeros((len(forms), kinds), dtype=np.int32)
-    for i, form in enumerate(forms):
-        for c in form:
-            counts[i, _LETTERS.get(c, kinds - 1)] += 1
+    _, rows, flat = _letters(forms, lambda c: _LETTERS.get(c, kinds - 1))
+    counts = np.bincount(rows * kinds + flat, minlength=len(forms) * kinds).reshape(len(forms), kinds)
     unary = counts[:, :, None] > np.arange(_REPEATS)
     return unary.reshape(len(forms), kinds * _REPEATS).astype(np.float32), np.maximum(counts - _REPEATS, 0).sum(axis=1)
 
 
 class BKTree:
-    """Entries by their distances: every entry below edge e of a node is at distance e from the node.
-
-    A node is [form, names, children by distance, its place in preorder, the place after its subtree].
-    """
+    """Entries by their distances, a tree for each length: every entry below edge e of a node is at distance e from
+    the node. Nodes are numbered in preorder, shorter trees first, so a subtree is a range."""
 
     def __init__(self, entries: list[tuple[str, str]]) -> None:
-        names: dict[str, set[str]] = {}
+        held: dict[str, set[str]] = {}
         for form, name in entries:
-            names.setdefault(form, set()).add(name)
-        self.root = self._build(names) if names else None
-        order: list[str] = []
-        stack = [(self.root, False)] if self.root else []
-        while stack:
-            node, left = stack.pop()
-            if left:
-                node[4] = len(order)
-                continue
-            node[3] = len(order)
-            order.append(node[0])
-            stack.append((node, True))
-            stack.extend((child, False) for child in node[2].values())
-        self.bags, self.spare = letter_bags(order)
-        self.sizes = np.array([len(f) for f in order], dtype=np.int64)
-
-    @staticmethod
-    def _build(names: dict[str, set[str]]) -> list:
-        """A node's whole subtree is measured in one call."""
-        root: list = ["", set(), {}, 0, 0]
-        todo = [(root, list(names))]
-        while todo:
-            node, forms = todo.pop()
-            node[0], node[1] = forms[0], names[forms[0]]
-            rest = forms[1:]
-            if not rest:
-                continue
-            codes, lengths, alphabet = encoded(rest)
-            below: dict[int, list[str]] = {}
-            for form, far in zip(rest, distances(node[0], codes, lengths, alphabet).tolist(), strict=True):
-                below.setdefault(far, []).append(form)
-            for far, group in below.items():
-                child: list = ["", set(), {}, 0, 0]
-                node[2][far] = child
-                todo.append((child, group))
-        return root
-
-    def _possible(self, forms: list[str], limit: np.ndarray) -> np.ndarray:
-        """For each form, how many entries before each place of the preorder it may be near. An edit changes
-        at most one letter, so the larger length less the common letters bounds the distance from below."""
+            held.setdefault(form, set()).add(name)
+        forms = list(held)
+        self.alphabet = alphabet_of(forms)
+        codes, lengths = encoded(forms, self.alphabet)
+        below: list[list[tuple[int, int]]] = [[] for _ in forms]
+        heads: dict[int, int] = {}
+        for i, n in enumerate(lengths.tolist()):
+            heads.setdefault(n, i)
+        members = np.array([i for i, n in enumerate(lengths.tolist()) if heads[n] != i], dtype=np.int64)
+        above = np.array([heads[int(lengths[i])] for i in members], dtype=np.int64)
+        while len(members):  # one level of all trees at a time
+            far = distances(codes[members], lengths[members], codes[above], lengths[above], len(self.alphabet) + 2)
+            order = np.lexsort((members, far, above))
+            members, above, far = members[order], above[order], far[order]
+            first = np.concatenate(([True], (above[1:] != above[:-1]) | (far[1:] != far[:-1])))
+            for node, edge, child in zip(above[first].tolist(), far[first].tolist(), members[first].tolist(), strict=True):
+                below[node].append((edge, child))
+            head = members[first][np.cumsum(first) - 1]
+            members, above = members[~first], head[~first]
+        order: list[int] = []
+        number, after = [0] * len(forms), [0] * len(forms)
+        for n in sorted(heads):
+            stack = [(heads[n], False)]
+            while stack:
+                node, left = stack.pop()
+                if left:
+                    after[node] = len(order)
+                    continue
+                number[node] = len(order)
+                order.append(node)
+                stack.append((node, True))
+                stack.extend((child, False) for _, child in below[node])
+        self.roots = np.array([number[heads[n]] for n in sorted(heads)], dtype=np.int64)
+        self.forms = [forms[i] for i in order]
+        self.names = [sorted(held[f]) for f in self.forms]
+        self.codes, self.sizes = codes[order], lengths[order]
+        self.after = np.array([after[i] for i in order], dtype=np.int64)
+        counts = np.array([len(below[i]) for i in order], dtype=np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(counts)))
+        self.edges = np.array([e for i in order for e, _ in below[i]], dtype=np.int64)
+        self.children = np.array([number[c] for i in order for _, c in below[i]], dtype=np.int64)
+        self.bags, self.spare = letter_bags(self.forms)
+
+    def _possible(self, forms: list[str], limit: np.ndarray, low: int, high: int) -> np.ndarray:
+        """For each form, how many of the entries from ``low`` on, before each place up to ``high``, it may be near. An
+        edit changes at most one letter, so the larger length less the common letters bounds the distance from below."""
         bags, spare = letter_bags(forms)
-        common = bags @ self.bags.T + np.minimum(spare[:, None], self.spare[None, :])
+        common = bags @ self.bags[low:high].T + np.minimum(spare[:, None], self.spare[None, low:high])
         sizes = np.array([len(f) for f in forms], dtype=np.int64)
-        near = np.maximum(sizes[:, None], self.sizes[None, :]) - common <= limit[:, None]
+        near = np.maximum(sizes[:, None], self.sizes[None, low:high]) - common <= limit[:, None]
         return np.concatenate((np.zeros((len(forms), 1), dtype=np.int32), np.cumsum(near, axis=1, dtype=np.int32)), axis=1)
 
     def within(self, forms: list[str], most: list[int]) -> list[list[tuple[int, str, str]]]:
-        """For each form every (distance, entry, name) within its threshold. All forms walk the tree together: a
-        node is compared at once with those forms that the triangle inequality leaves to it, and that some entry
-        below it may be near by its letters. Both tests lose nothing."""
+        """For each form every (distance, entry, name) within its threshold. All forms walk the trees together, level by
+        level: a node is measured with those forms that the triangle inequality leaves to it, and that some entry below
+        it may be near by its letters; only trees of a near length are entered. All three tests lose nothing."""
         found: list[list[tuple[int, str, str]]] = [[] for _ in forms]
-        if self.root is None:
+        if not len(self.roots):
             return found
         order = sorted(range(len(forms)), key=lambda i: len(forms[i]))
         size = max(64, min(BLOCK, BLOCK_CELLS // len(self.sizes)))
         for start in range(0, len(order), size):
-            block = np.array(order[start : start + size])
-            before = self._possible([forms[i] for i in block], np.array([most[i] for i in block]))
-            some = before[:, -1] > 0
-            block, before = block[some], before[some]
-            if not len(block):
+            block = order[start : start + size]
+            asked, limit = [forms[i] for i in block], np.array([most[i] for i in block])
+            low = int(np.searchsorted(self.sizes, len(asked[0]) - limit.max(), "left"))
+            high = int(np.searchsorted(self.sizes, len(asked[-1]) + limit.max(), "right"))
+            if low >= high:
                 continue
-            codes, lengths, alphabet = encoded([forms[i] for i in block])
-            limit = np.array([most[i] for i in block])
-            stack = [(self.root, np.arange(len(block)))]
-            while stack:
-                node, live = stack.pop()
-                far = distances(node[0], codes[: lengths[live].max(), live], lengths[live], alphabet)
-                for x in np.flatnonzero(far <= limit[live]):
-                    found[block[live[x]]].extend((int(far[x]), node[0], name) for name in node[1])
-                for edge, child in node[2].items():
-                    below = before[live, child[4]] > before[live, child[3]]
-                    left = live[(np.abs(far - edge) <= limit[live]) & below]
-                    if len(left):
-                        stack.append((child, left))
+            before = self._possible(asked, limit, low, high)
+            codes, lengths = encoded(asked, self.alphabet)
+            roots = self.roots[(self.roots >= low) & (self.roots < high)]
+            who, node = np.repeat(np.arange(len(asked)), len(roots)), np.tile(roots, len(asked))
+            close = np.abs(lengths[who] - self.sizes[node]) <= limit[who]
+            who, node = who[close], node[close]
+            while len(who):
+                some = before[who, self.after[node] - low] > before[who, node - low]
+                who, node = who[some], node[some]
+                if not len(who):
+                    break
+                far = distances(codes[who], lengths[who], self.codes[node], self.sizes[node], len(self.alphabet) + 2)
+                for x in np.flatnonzero(far <= limit[who]):
+                    form = self.forms[node[x]]
+                    found[block[who[x]]].extend((int(far[x]), form, name) for name in self.names[node[x]])
+                counts = self.starts[node + 1] - self.starts[node]
+                spot = np.repeat(self.starts[node], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                who, far = np.repeat(who, counts), np.repeat(far, counts)
+                left = np.abs(far - self.edges[spot]) <= limit[who]
+                who, node = who[left], self.children[spot[left]]
         return found
 
 
@@ -235,52 +265,57 @@ def allowed(form: str) -> int:
 
 
 class Matcher:
-    """The reference entries of one shard."""
+    """The reference entries of one shard, in trees."""
 
     def __init__(self, entries: list[tuple[str, str]]) -> None:
-        self.exact: dict[str, set[str]] = {}
         self.shortened: dict[str, list[tuple[str, str]]] = {}
         forms: list[tuple[str, str]] = []
-        self.longest = 0
+        whole: list[tuple[str, str]] = []
         for spelling, name in entries:
             parts = words(spelling)
-            self.exact.setdefault(" ".join(sorted(parts)), set()).add(name)
-            for form in sorted(_forms(parts)):
-                forms.append((form, name))
-                self.longest = max(self.longest, len(form))
+            if parts:
+                whole.append((" ".join(sorted(parts)), name))
+            forms.extend((form, name) for form in sorted(_forms(parts)))
             if len(parts) == 2:
                 self.shortened.setdefault(parts[1], []).append((parts[0], name))
+        self.longest = max((len(form) for form, _ in forms), default=0)
         self.surnames = BKTree([(s, s) for s in sorted(self.shortened)])
-        self.tree = BKTree(forms)
-        self.forms: dict[str, set[str]] = {}
-        for form, name in forms:
-            self.forms.setdefault(form, set()).add(name)
+        self.whole, self.tree = BKTree(whole), BKTree(forms)
+
+    def _same_words(self, entered: dict[int, list[str]], found: list[list[tuple[float, str]]], rank: float) -> None:
+        """Adds the entries with the same words, at ``rank``."""
+        probes: dict[str, list[int]] = {}
+        for i, parts in entered.items():
+            form = " ".join(sorted(parts))
+            if parts and len(form) <= self.longest:
+                probes.setdefault(form, []).append(i)
+        for form, hits in zip(probes, self.whole.within(list(probes), [0] * len(probes)), strict=True):
+            for i in probes[form]:
+                found[i].extend((rank, n) for _, _, n in hits)
 
     def candidates(self, entered: list[str]) -> list[list[tuple[float, str]]]:
-        """For each name every (distance, listed name) within the threshold."""
+        """For each name every (distance, listed name) within the threshold; the same words count as less than 0."""
         found: list[list[tuple[float, str]]] = [[] for _ in entered]
+        every = {i: words(name) for i, name in enumerate(entered)}
+        self._same_words(every, found, -2.0)
+        bare: dict[int, list[str]] = {}
+        for i, name in enumerate(entered):
+            if not found[i]:
+                rest = words(without_notes(name))
+                while len(rest) > 2 and rest[0] in TITLES:
+                    rest = rest[1:]
+                bare[i] = rest
+        self._same_words(bare, found, -1.0)
         probes: dict[str, list[int]] = {}
         short: dict[str, list[tuple[int, str]]] = {}
-        for i, name in enumerate(entered):
-            parts = words(name)
-            hit = self.exact.get(" ".join(sorted(parts)))
-            if hit:
-                found[i] = [(-1.0, n) for n in hit]
+        for i, rest in bare.items():
+            if found[i]:
                 continue
-            bare = words(without_notes(name))
-            while len(bare) > 2 and bare[0] in TITLES:
-                bare = bare[1:]
-            hit = self.exact.get(" ".join(sorted(bare)))
-            if hit:
-                found[i] = [(0.0, n) for n in hit]
-                continue
-            for form in _rotations(bare) | _rotations(parts):
-                if allowed(form) and len(form) <= self.longest + THRESHOLD:
+            for form in _rotations(rest) | _rotations(every[i]):
+                if len(form) <= self.longest + allowed(form):
                     probes.setdefault(form, []).append(i)
-                elif form in self.forms:
-                    found[i].extend((0.0, n) for n in self.forms[form])
-            if len(bare) == 2:
-                for first, last in (bare, bare[::-1]):
+            if len(rest) == 2:
+                for first, last in (rest, rest[::-1]):
                     if len(first) <= 3 and len(last) >= 4:
                         short.setdefault(last, []).append((i, first))
         forms = list(probes)
@@ -324,34 +359,41 @@ _FOUND = T.StructType(
 
 
 def match_names(names: DataFrame, entries: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """(name) -> (name, canonical) for distinct names. The list is counted first; its shards are broadcast one
-    by one to the tasks only while they fit ``shard_entries``, and names are sent once to each shard."""
+    """(name) -> (name, canonical) for distinct names. The list is counted first: within ``shard_entries`` its trees are
+    built once and broadcast; a longer list becomes shards, whose trees are built once each and meet the names in
+    blocks of about ``BLOCK_NAMES``."""
     size = entries.count()
     shards = max(1, -(-size // shard_entries))
     spark = names.sparkSession
     if shards == 1:
-        local = spark.sparkContext.broadcast([tuple(r) for r in entries.orderBy("spelling", "name").collect()])
+        local = spark.sparkContext.broadcast(Matcher([tuple(r) for r in entries.orderBy("spelling", "name").collect()]))
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(local.value)
             for batch in batches:
-                yield pd.DataFrame({"name": batch["name"], "canonical": [nearest(f) for f in matcher.candidates(list(batch["name"]))]})
+                yield pd.DataFrame({"name": batch["name"], "canonical": [nearest(f) for f in local.value.candidates(list(batch["name"]))]})
 
         return names.repartition(task_count(spark)).mapInPandas(probe, "name string, canonical string")
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        matcher = Matcher(sorted(zip(rows["spelling"], rows["name"], strict=True)))
+        return pd.DataFrame({"shard": [key[0]], "trees": [pickle.dumps(matcher)]})
+
     listed = entries.withColumn("shard", F.pmod(F.xxhash64("spelling"), F.lit(shards)).cast("int"))
+    built = cut(listed.groupBy("shard").applyInPandas(build, "shard int, trees binary"))
+    # Names meet a shard in blocks, so that no task holds more than one shard's trees and one block's names.
+    blocks = max(task_count(spark), -(-names.count() // BLOCK_NAMES))
     probes = names.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    # Names meet a shard in blocks, so that no task holds more than one shard and one block's names.
-    blocks = task_count(spark)
     probes = probes.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)))
-    listed = listed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    built = built.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
 
     def probe_shard(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        matcher = Matcher(sorted(zip(right["spelling"], right["name"], strict=True)))
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=_FOUND.names)
         entered = list(left["name"])
-        rows = [(n, far, c) for n, found in zip(entered, matcher.candidates(entered), strict=True) for far, c in found]
-        return pd.DataFrame(rows, columns=_FOUND.names)
+        found = pickle.loads(right["trees"].iloc[0]).candidates(entered)
+        return pd.DataFrame([(n, far, c) for n, hits in zip(entered, found, strict=True) for far, c in hits], columns=_FOUND.names)
 
-    found = probes.groupBy("shard", "block").cogroup(listed.groupBy("shard", "block")).applyInPandas(probe_shard, _FOUND)
+    found = probes.groupBy("shard", "block").cogroup(built.groupBy("shard", "block")).applyInPandas(probe_shard, _FOUND)
     best = found.groupBy("name").agg(F.min("far").alias("far"))
     won = found.join(best, ["name", "far"]).groupBy("name").agg(
         F.when(F.min("canonical") == F.max("canonical"), F.min("canonical")).alias("canonical")

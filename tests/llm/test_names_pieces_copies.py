@@ -34,14 +34,17 @@ def words(rng, n, letters="abcd "):
 def test_distances_and_metric():
     rng = random.Random(3)
     forms = words(rng, 60)
-    codes, lengths, alphabet = names.encoded(forms)
-    table = np.array([names.distances(f, codes, lengths, alphabet) for f in forms])
+    alphabet = names.alphabet_of(forms)
+    codes, lengths = names.encoded(forms, alphabet)
+    i, j = (x.ravel() for x in np.indices((60, 60)))
+    table = names.distances(codes[i], lengths[i], codes[j], lengths[j], len(alphabet) + 2).reshape(60, 60)
     assert table.tolist() == [[plain_distance(a, b) for b in forms] for a in forms]
     assert (table == table.T).all()
     for a in range(20):
         for b in range(20):
             assert (table[a] <= table[a, b] + table[b]).all()
-    assert names.distances("zz", codes, lengths, alphabet)[0] == plain_distance("zz", forms[0])
+    other, length = names.encoded(["zz"], alphabet)
+    assert names.distances(other, length, codes[:1], lengths[:1], len(alphabet) + 2)[0] == plain_distance("zz", forms[0])
 
 
 def test_tree_returns_every_entry_within():
@@ -67,8 +70,9 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("shard", [1000, 3])
-def test_names_are_led_to_the_list(spark, shard):
+@pytest.mark.parametrize(("shard", "block"), [(1000, 20_000), (3, 20_000), (2, 3)])
+def test_names_are_led_to_the_list(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(names, "BLOCK_NAMES", block)
     canon = spark.createDataFrame([("d", {"The Lame Tanner": "Orla Quillfeather", "Ghost": "Nobody", "": "Ivo Umberhart"}, GOLD, "x"), ("e", None, GOLD[:1] + [None], "x")], CANON)
     entered = [*CASES, "Orla Quillfeather", "Orla Quillfeather", None, " ", chr(0xA0), "Ghost"]
     rows = spark.createDataFrame([(i, n, "c") for i, n in enumerate(entered)], "row_id long, name string, canonical string")
