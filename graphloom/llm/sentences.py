@@ -57,6 +57,7 @@ WIDE = set("。！？｡؟۔।॥")
 DASHES = "—–―"
 
 _MARK = re.compile(r"""(?P<stop>[.!?…。！？｡؟۔।॥]+)|(?P<mark>["'“”„«»‹›「」『』‘’‚()\[\]{}（）【】〔〕《》〈〉])|(?P<space>\s+)""")
+_NO_SPACE = re.compile(_MARK.pattern.replace(r"|(?P<space>\s+)", "|(?P<space>(?!))"))  # for texts without such scripts
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _SPACED = re.compile(r"[฀-๿຀-໿ༀ-࿿က-႟ក-៿]")
 _ATTRIBUTION = re.compile(r"[^。！？“”]{1,14}(?:问|問|说|說|道|喊|答|叫|曰)[。！]")
@@ -212,7 +213,7 @@ class _Run:
 
     def _take_up(self) -> None:
         """At the start of a text: inside a quotation when the first mark of one closes it."""
-        for m in _MARK.finditer(self.text, self.begin, self.end):
+        for m in _NO_SPACE.finditer(self.text, self.begin, self.end):
             mark = m["mark"]
             if not mark or mark in "()[]{}（）【】〔〕《》〈〉" or m.start() in self.void:
                 continue
@@ -421,7 +422,7 @@ class _Run:
 
     def unclosed(self) -> list[int]:
         """Where the marks stand that the paragraph leaves open, outermost first."""
-        for m in _MARK.finditer(self.text, self.begin, self.end):
+        for m in _NO_SPACE.finditer(self.text, self.begin, self.end):
             if m["mark"] and m.start() not in self.void:
                 kind = self._kind(m.start(), m["mark"], self.stack[-1][0] if self.depth else "", self.depth > 0)
                 if kind == "open":
@@ -436,8 +437,9 @@ class _Run:
 
     def run(self) -> list[tuple[int, int]]:
         text, at = self.text, self.begin
+        marks = _MARK if _SPACED.search(text, at, self.end) else _NO_SPACE
         while True:
-            m = _MARK.search(text, at, self.end)
+            m = marks.search(text, at, self.end)
             if not m:
                 break
             at = m.end()
@@ -463,7 +465,7 @@ def _held(text: str, begin: int, end: int, places: list[int]) -> int:
     by what stands around it and what follows. It has to stand where a mark opens, and none like it may open after
     it; a single one, which may be an apostrophe, has to begin a sentence or follow words that introduce it."""
     again: dict[str, int] = {}  # the last place of each mark; a speech may open anew on each line
-    for m in _MARK.finditer(text, begin, end):
+    for m in _NO_SPACE.finditer(text, begin, end):
         if m["mark"] and text[m.start() - 1 : m.start()] != "\n":
             again[m["mark"]] = m.start()
     single = max((m.start() for m in _WORD_QUOTE.finditer(text, begin, end)), default=-1)

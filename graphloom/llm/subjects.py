@@ -111,15 +111,26 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(sentences: list[list[str]], labels: list[np.ndarray], weights: list[float]) -> dict[str, np.ndarray]:
-    """Training rows as arrays: words are numbered, and a word's buckets are listed once."""
+    """Training rows as arrays: words are numbered, and a word's buckets are listed once. The way back, from sentences
+    to words and from words to buckets, is sorted once: ``word_row`` has the sentences of every word in turn,
+    ``gram_word`` the words of every bucket of ``gram_key``."""
     vocabulary: dict[str, int] = {}
-    numbers = [vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s]
-    grams = [features(w) for w in vocabulary]
+    word = np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], dtype=np.int32)
+    every = [features(w) for w in vocabulary]
+    gram = np.array([g for gs in every for g in gs], dtype=np.int32)
+    words = np.array([len(s) for s in sentences], dtype=np.int32)
+    grams = np.array([len(g) for g in every], dtype=np.int32)
+    key, count = np.unique(gram, return_counts=True)
     return {
-        "word": np.array(numbers, dtype=np.int32),
-        "words": np.array([len(s) for s in sentences], dtype=np.int32),
-        "gram": np.array([g for gs in grams for g in gs], dtype=np.int32),
-        "grams": np.array([len(g) for g in grams], dtype=np.int32),
+        "word": word,
+        "words": words,
+        "gram": gram,
+        "grams": grams,
+        "word_row": np.repeat(np.arange(len(words), dtype=np.int32), words)[np.argsort(word, kind="stable")],
+        "word_count": np.bincount(word, minlength=len(grams)).astype(np.int32),
+        "gram_word": np.repeat(np.arange(len(grams), dtype=np.int32), grams)[np.argsort(gram, kind="stable")],
+        "gram_key": key.astype(np.int32),
+        "gram_count": count.astype(np.int32),
         "label": np.array(labels, dtype=np.float32),
         "weight": np.array(weights, dtype=np.float32),
     }
@@ -135,16 +146,6 @@ def logits(params: Params, p: dict[str, np.ndarray]) -> np.ndarray:
     return _averages(params.embed, p)[0] @ params.out + params.bias
 
 
-def _scattered(values: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by key."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    out = np.zeros((size, values.shape[1]), dtype=np.float32)
-    out[ordered[heads]] = np.add.reduceat(values[order], heads, axis=0)
-    return out
-
-
 def gradient(params: Params, p: dict[str, np.ndarray]) -> tuple[list[np.ndarray], float]:
     """Summed gradients of the weighted logistic losses of all rows, and the summed loss."""
     mean, counts = _averages(params.embed, p)
@@ -154,21 +155,22 @@ def gradient(params: Params, p: dict[str, np.ndarray]) -> tuple[list[np.ndarray]
     loss = float((w * (np.logaddexp(0, z) - y * z)).sum())
     g = ((prob - y) * w).astype(np.float32)
     back = (g @ params.out.T) / counts[:, None]
-    per_word = _scattered(np.repeat(back, p["words"], axis=0), p["word"], len(p["grams"]))
-    per_gram = _scattered(np.repeat(per_word, p["grams"], axis=0), p["gram"], BUCKETS)
+    per_word = np.add.reduceat(back[p["word_row"]], _offsets(p["word_count"]), axis=0)
+    per_gram = np.zeros((BUCKETS, WIDTH), dtype=np.float32)
+    per_gram[p["gram_key"]] = np.add.reduceat(per_word[p["gram_word"]], _offsets(p["gram_count"]), axis=0)
     return [per_gram, mean.T @ g, g.sum(axis=0)], loss
 
 
-#: Labelled documents that the model is fitted on, at most, and the partitions that hold them.
+#: Labelled documents that the model is fitted on, at most, and the words of one pack of their sentences.
 LABELLED = 20_000
-PACKS = 6
+PACK_WORDS = 200_000
 ROUNDS = 22
 RATE = 0.1
 SHARE = 0.18
 #: Words whose scores a scoring task keeps at hand.
 KNOWN_WORDS = 200_000
 
-_FIELDS = ("word", "words", "gram", "grams", "label", "weight")
+_FIELDS = ("word", "words", "gram", "grams", "word_row", "word_count", "gram_word", "gram_key", "gram_count", "label", "weight")
 _PACKED = T.StructType([T.StructField(f, T.BinaryType()) for f in _FIELDS])
 _SUMS = T.StructType(
     [
@@ -195,7 +197,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, subjects: list[str],
 
 def _packer(subjects: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sentences, labels = [], []
+        sentences, labels, size = [], [], 0
+
+        def packed() -> pd.DataFrame:
+            arrays = pack(sentences, labels, [1.0] * len(sentences))
+            return pd.DataFrame({f: [arrays[f].tobytes()] for f in _FIELDS})
+
         for batch in batches:
             for text, numbers in zip(batch["text"], batch["subjects"], strict=True):
                 label = np.zeros(subjects, dtype=np.float32)
@@ -203,9 +210,12 @@ def _packer(subjects: int):
                 for unit in units(text):
                     sentences.append(unit)
                     labels.append(label)
+                    size += len(unit)
+                    if size >= PACK_WORDS:
+                        yield packed()
+                        sentences, labels, size = [], [], 0
         if sentences:
-            packed = pack(sentences, labels, [1.0] * len(sentences))
-            yield pd.DataFrame({f: [packed[f].tobytes()] for f in _FIELDS})
+            yield packed()
 
     return run
 
@@ -242,7 +252,7 @@ def train(rows: DataFrame, subjects: int, rounds: int = ROUNDS) -> Params | None
     """The fitted model; None without training rows. A round brings one sum of the size of the model to the
     driver, whatever the data; the partitions' sums are added up before, slice by slice."""
     spark = rows.sparkSession
-    packed = cut(rows.repartition(PACKS, "doc_id").mapInPandas(_packer(subjects), _PACKED))
+    packed = cut(rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_packer(subjects), _PACKED))
     params = Params.start(subjects)
     adam = Adam(params, RATE)
     for _ in range(rounds):
@@ -269,14 +279,15 @@ class Scorer:
         sure = (1 + params.rates.clip(0, 0.999)) / 2
         self.least = np.log(sure / (1 - sure))
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-
-    def _number(self, word: str) -> int:
-        number = self.known.get(word)
-        if number is None:
-            grams = features(word)
-            number = self.known[word] = len(self.rows)
-            self.rows.append(np.append(self.bucket[grams].sum(axis=0), len(grams)))
+        self.table = np.empty((1024, len(self.bias) + 1), dtype=np.float32)
+
+    def _add(self, word: str) -> int:
+        number = self.known[word] = len(self.known)
+        if number == len(self.table):
+            self.table = np.concatenate((self.table, np.empty_like(self.table)))
+        grams = features(word)
+        self.table[number, :-1] = self.bucket[grams].sum(axis=0)
+        self.table[number, -1] = len(grams)
         return number
 
     def shares(self, text: str) -> tuple[np.ndarray, int]:
@@ -284,10 +295,11 @@ class Scorer:
         sentences = units(text)
         if not sentences:
             return np.zeros(len(self.bias), dtype=np.int64), 0
-        if len(self.rows) > KNOWN_WORDS:
-            self.known, self.rows = {}, []
-        table = np.array([self.rows[self._number(w)] for s in sentences for w in s])
-        sums = np.add.reduceat(table, _offsets(np.array([len(s) for s in sentences])), axis=0)
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {}
+        get, add = self.known.get, self._add
+        numbers = [n if (n := get(w)) is not None else add(w) for s in sentences for w in s]
+        sums = np.add.reduceat(self.table[numbers], _offsets(np.array([len(s) for s in sentences])), axis=0)
         z = sums[:, :-1] / sums[:, -1:] + self.bias
         return (z > self.least).sum(axis=0), len(sentences)
 
