@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.arrays import running_sums
+from graphloom.functions.let import let
 from graphloom.functions.text import WHITE_SPACE, strip
 
 _BREAK = f"(?<=[.!?])[{WHITE_SPACE}]+"
@@ -18,14 +20,13 @@ def split_sentences(text: Column) -> Column:
 def sentence_spans(text: Column) -> Column:
     """Array of (start, end, sentence), 0-based half-open code points, trimmed."""
     raw = F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:[.!?](?=[{WHITE_SPACE}])|\z)"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRUCT<start:INT,end:INT,sentence:STRING>>)").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        body = strip(part)
-        lead = F.length(part) - F.length(F.regexp_replace(part, f"^[{WHITE_SPACE}]+", ""))
-        start = acc["at"] + lead
-        one = F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("sentence"))
-        out = F.when(F.length(body) > 0, F.array_append(acc["out"], one)).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(part)).alias("at"), out.alias("out"))
+    def spans(parts: Column) -> Column:
+        def one(part: Column, at: Column) -> Column:
+            lead = F.length(part) - F.length(F.regexp_replace(part, f"^[{WHITE_SPACE}]+", ""))
+            return let(strip(part), lambda body: F.struct((at + lead).alias("start"), (at + lead + F.length(body)).alias("end"), body.alias("sentence")))
 
-    return F.aggregate(raw, zero, step, lambda acc: acc["out"])
+        every = let(running_sums(F.transform(parts, F.length)), lambda at: F.transform(parts, lambda part, i: one(part, at[i])))
+        return F.filter(every, lambda s: s["end"] > s["start"])
+
+    return let(raw, spans)

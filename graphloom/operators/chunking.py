@@ -26,10 +26,27 @@ def numbered(df: DataFrame, parts: Column) -> DataFrame:
     return rows.select(F.concat("file_id", F.lit("_chunk_"), pos.cast("string")).alias("chunk_id"), "file_id", pos.alias("pos"), "text")
 
 
+#: Windows of a section: a long text is cut into sections first, as a window is looked for from where its text begins.
+SECTION_WINDOWS = 16
+
+
 def fixed_parts(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` at every ``size - overlap``; the last may lie within the one before."""
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap))
-    return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size))))
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))
+    short = F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))
+    room = step * SECTION_WINDOWS
+    over = -(-overlap // room)  # sections that the last window of one reaches into
+
+    def windows(sections: Column) -> Column:
+        def one(i: Column) -> Column:
+            section = F.floor(i / room).cast("int")
+            return F.substring(F.array_join(F.slice(sections, section + 1, F.lit(over + 1)), ""), i - section * room + 1, F.lit(size))
+
+        return F.transform(starts, one)
+
+    long = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{room}}}"), F.lit(0)), windows)
+    return F.when(F.length(text) > room, long).when(F.length(text) > 0, short)
 
 
 def window_parts(sentences: Column, size: int, overlap: int) -> Column:

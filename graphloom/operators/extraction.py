@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.let import let
 from graphloom.functions.text import strip
 
 # Attempts at a model call, and the seconds waited before the second and later ones.
@@ -123,14 +124,17 @@ def relations_of(responses: DataFrame) -> DataFrame:
 def rule_response(text: Column) -> Column:
     """The default extractor: runs of capitalised words are entities; neighbours in the text are related.
     Gives the JSON that a model is asked for."""
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"), F.lit(0)))
-    entities = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("Other").alias("type"), F.lit("").alias("description")))
-    pairs = F.when(F.size(names) > 1, F.sequence(F.lit(0), F.size(names) - 2)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
-    relations = F.transform(
-        pairs,
-        lambda i: F.struct(names[i].alias("source"), names[i + 1].alias("target"), F.lit("near, beside").alias("keywords"), F.lit("").alias("description")),
-    )
-    return F.to_json(F.struct(entities.alias("entities"), relations.alias("relationships")))
+
+    def response(names: Column) -> Column:
+        entities = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("Other").alias("type"), F.lit("").alias("description")))
+        pairs = F.when(F.size(names) > 1, F.sequence(F.lit(0), F.size(names) - 2)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
+        relations = F.transform(
+            pairs,
+            lambda i: F.struct(names[i].alias("source"), names[i + 1].alias("target"), F.lit("near, beside").alias("keywords"), F.lit("").alias("description")),
+        )
+        return F.to_json(F.struct(entities.alias("entities"), relations.alias("relationships")))
+
+    return let(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"), F.lit(0))), response)
 
 
 def call_model(
