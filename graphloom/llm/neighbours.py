@@ -299,7 +299,7 @@ def nearest(
     """(id, rank, other, score), rank from 1. ``cells`` is their number where it is not to follow from that of the vectors."""
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
     found = valid(vectors, size).withColumn("length", length)
-    unit = F.transform("vec", lambda v: F.round(v / F.col("length"), 12) + 0.0)
+    unit = F.transform("vec", lambda v: F.rint(v / F.col("length") * 1e12) + 0.0)
     # A direction is told by 128 bits of hashes.
     found = found.select("id", "vec", unit.alias("unit")).select("id", "vec", F.xxhash64("unit").alias("h1"), F.xxhash64(F.reverse("unit")).alias("h2"))
     rows = cut(found)
