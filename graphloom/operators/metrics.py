@@ -49,20 +49,30 @@ def normalise_pairs(df: DataFrame, column: str, table: DataFrame, out: str) -> D
 
 
 def set_metrics(gold: DataFrame, retrieved: DataFrame, questions: DataFrame) -> DataFrame:
-    """gold and retrieved (qid, item) as sets, per question of ``questions`` (qid)."""
+    """gold and retrieved (qid, item) as sets, per question of ``questions`` (qid); ``matched`` lists the common items."""
     sides = gold.where(F.length("item") >= 0).select("qid", "item", F.lit(1).alias("g"), F.lit(0).alias("r")).unionByName(
         retrieved.where(F.length("item") >= 0).select("qid", "item", F.lit(0).alias("g"), F.lit(1).alias("r"))
     )
     items = sides.groupBy("qid", "item").agg(F.max("g").alias("g"), F.max("r").alias("r"))
     counts = items.groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.when(F.col("g") * F.col("r") == 1, F.col("item")))).alias("matched"),
         F.sum(F.col("g") * F.col("r")).alias("matched_count"), F.sum("g").alias("gold_count"), F.sum("r").alias("retrieved_count")
     )
     rows = questions.select("qid").distinct().join(counts, "qid", "left").fillna(0, ["matched_count", "gold_count", "retrieved_count"])
+    rows = rows.withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
     rows = rows.withColumn("recall", ratio(F.col("matched_count"), F.col("gold_count")))
     rows = rows.withColumn("precision", ratio(F.col("matched_count"), F.col("retrieved_count")))
     return rows.withColumn("f1", harmonic(F.col("recall"), F.col("precision"))).withColumn("hit", F.col("matched_count") > 0)
 
 
+LISTS = ("relevant_chunk_ids", "novel_relevant_chunk_ids", "matched_evidence_ids", "matched_answer_point_indices")
+
+
+def _by_rank(chosen: Column) -> Column:
+    """The chunk ids of the chosen rows of a question, in rank order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(chosen, F.struct("rank", "chunk_id")))), lambda s: s["chunk_id"])
+
+
 def evidence_metrics(retrieved: DataFrame, chunk_evidence: DataFrame, evidence_points: DataFrame, questions: DataFrame) -> DataFrame:
     """retrieved (qid, chunk_id, rank); chunk_evidence (qid, chunk_id, evidence_id or null for a chunk without);
     evidence_points (qid, evidence_id, point or null); questions (qid, answer_points). One row per question.
@@ -85,17 +95,24 @@ def evidence_metrics(retrieved: DataFrame, chunk_evidence: DataFrame, evidence_p
         F.sum(F.coalesce("novel", F.lit(0))).cast("bigint").alias("novel_chunks"),
         F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first_relevant_rank"),
         F.sum(F.when(F.col("relevant") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
+        _by_rank(F.col("relevant") == 1).alias("relevant_chunk_ids"),
+        _by_rank(F.col("novel") == 1).alias("novel_relevant_chunk_ids"),
     )
     ideal_size = listed.groupBy("qid").agg(F.count(F.lit(1)).alias("listed_chunks"))
-    matched = first_rank.groupBy("qid").agg(F.count(F.lit(1)).alias("matched_evidence"))
+    matched = first_rank.groupBy("qid").agg(F.count(F.lit(1)).alias("matched_evidence"), F.array_sort(F.collect_list("evidence_id")).alias("matched_evidence_ids"))
     gold = known.groupBy("qid").agg(F.count(F.lit(1)).alias("gold_evidence"))
     points = first_rank.join(evidence_points, ["qid", "evidence_id"]).where(F.col("point").isNotNull())
-    points = points.select("qid", "point").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("matched_points"))
+    points = points.select("qid", "point").distinct().groupBy("qid").agg(
+        F.count(F.lit(1)).alias("matched_points"), F.array_sort(F.collect_list("point")).alias("matched_answer_point_indices")
+    )
     rows = questions.select("qid", F.col("answer_points").cast("bigint").alias("answer_points"))
     for part in (ranks, ideal_size, matched, gold, points):
         rows = rows.join(part, "qid", "left")
     counts = ["retrieved_chunks", "relevant_chunks", "novel_chunks", "listed_chunks", "matched_evidence", "gold_evidence", "matched_points", "answer_points"]
     rows = rows.fillna(0, counts).fillna(0.0, ["dcg"])
+    for name in LISTS:
+        kind = "array<int>" if name == "matched_answer_point_indices" else "array<string>"
+        rows = rows.withColumn(name, F.coalesce(F.col(name).cast(kind), F.array().cast(kind)))
     best = F.least("retrieved_chunks", "listed_chunks").cast("int")
     ideal = F.when(best > 0, F.aggregate(F.sequence(F.lit(1), best), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))).otherwise(0.0)
     rows = rows.withColumn("chunk_precision", ratio(F.col("relevant_chunks"), F.col("retrieved_chunks")))
@@ -123,3 +140,45 @@ def summary(rows: DataFrame) -> DataFrame:
     out = out.withColumn("micro_f1", harmonic(F.col("micro_precision"), F.col("micro_evidence_recall")))
     out = out.withColumn("micro_answer_point_recall", ratio(F.col("matched_points"), F.col("answer_points")))
     return out.drop("relevant_chunks", "retrieved_chunks", "matched_evidence", "gold_evidence", "matched_points", "answer_points")
+
+
+# The names under which the evidence metrics are published, each with the column that has it.
+REPORT = {
+    "chunk_precision": "chunk_precision", "evidence_recall": "evidence_recall", "coverage_f1": "coverage_f1",
+    "answer_point_recall": "answer_point_recall", "chunk_hit": "chunk_hit", "k": "retrieved_chunks", "precision_at_k": "chunk_precision",
+    "evidence_recall_at_k": "evidence_recall", "answer_point_recall_at_k": "answer_point_recall", "reciprocal_rank": "reciprocal_rank",
+    "ndcg_at_k": "ndcg", "first_relevant_rank": "first_relevant_rank", "redundancy_rate": "redundancy_rate",
+    "retrieved_count": "retrieved_chunks", "relevant_retrieved_count": "relevant_chunks", "novel_relevant_count": "novel_chunks",
+    "redundant_relevant_count": "redundant_chunks", "gold_evidence_count": "gold_evidence", "matched_evidence_count": "matched_evidence",
+    "gold_answer_point_count": "answer_points", "matched_answer_point_count": "matched_points", **{name: name for name in LISTS},
+}
+
+# The averages of a summary, each with the column it is the mean of, and its micro ratios.
+AVERAGES = {
+    **{f"avg_{kind}_{m}": f"{kind}_{m}" for kind in ("entity", "relation") for m in ("recall", "precision", "f1")},
+    "avg_chunk_precision": "chunk_precision", "avg_evidence_recall": "evidence_recall", "avg_answer_point_recall": "answer_point_recall",
+    "avg_coverage_f1": "coverage_f1", "mean_reciprocal_rank": "reciprocal_rank", "avg_ndcg_at_k": "ndcg_at_k",
+    "avg_chunk_redundancy_rate": "redundancy_rate", "entity_hit_rate": "entity_hit", "relation_hit_rate": "relation_hit", "chunk_hit_rate": "chunk_hit",
+}
+PROTOCOL = "canonical evidence coverage"
+
+
+def evidence_report(rows: DataFrame) -> DataFrame:
+    """The rows of ``evidence_metrics`` under their published names."""
+    return rows.select("qid", *[F.col(column).alias(name) for name, column in REPORT.items()])
+
+
+def evaluation_summary(rows: DataFrame) -> DataFrame:
+    """Per mode of ``evaluation.evaluate``: the number of questions, the macro averages, and the micro ratios."""
+    totals = ("retrieved_count", "relevant_retrieved_count", "gold_evidence_count", "matched_evidence_count", "gold_answer_point_count", "matched_answer_point_count")
+    out = rows.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("count"),
+        *[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(name) for name, c in AVERAGES.items()],
+        *[F.sum(c).alias(c) for c in totals],
+    )
+    out = out.withColumn("metric_protocol", F.lit(PROTOCOL))
+    out = out.withColumn("micro_chunk_precision", ratio(F.col("relevant_retrieved_count"), F.col("retrieved_count")))
+    out = out.withColumn("micro_evidence_recall", ratio(F.col("matched_evidence_count"), F.col("gold_evidence_count")))
+    out = out.withColumn("micro_coverage_f1", harmonic(F.col("micro_chunk_precision"), F.col("micro_evidence_recall")))
+    out = out.withColumn("micro_answer_point_recall", ratio(F.col("matched_answer_point_count"), F.col("gold_answer_point_count")))
+    return out.drop(*totals)

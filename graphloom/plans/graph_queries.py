@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.config import ChunkConfig, RetrievalConfig
+from graphloom.config import MODES, ChunkConfig, RetrievalConfig
 from graphloom.functions.sentences import sentence_spans, split_sentences
 from graphloom.functions.text import collapse_space
-from graphloom.operators import align, chunking, extraction, gold, graph, merge, metrics, retrieval, topk
+from graphloom.operators import align, chunking, evaluation, extraction, gold, graph, merge, metrics, retrieval, topk
 from graphloom.plans.tables import table
+from graphloom.session import cut
 
 CONFIG = ChunkConfig()
 RETRIEVAL = RetrievalConfig()
@@ -278,7 +279,7 @@ def set_metrics(spark: SparkSession, folder: str) -> DataFrame:
     wanted = q.select("qid", F.explode("gold_entities").alias("name"))
     return metrics.set_metrics(
         metrics.normalise_names(wanted, "name", names, "item"), metrics.normalise_names(found, "name", names, "item"), q
-    ).withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")})
+    ).withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")}).withColumn("matched", F.array_join("matched", ";"))
 
 
 def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,7 +302,7 @@ def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _evaluated(spark, folder)
+    rows = _evaluated(spark, folder).drop(*metrics.LISTS)
     return rows.withColumns({f: F.round(f, 6) for f, kind in rows.dtypes if kind == "double"})
 
 
@@ -310,6 +311,29 @@ def summary_macro_micro(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumns({f: F.round(f, 6) for f, kind in rows.dtypes if kind == "double"})
 
 
+def _evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """All questions in all modes against their gold lists. The gold texts are not among the tables, so a question's
+    spans are taken to lie in every file that has one of its gold entities."""
+    questions = table(spark, folder, "gold_questions").withColumnRenamed("id", "qid")
+    index, modes = _index(spark, folder), list(MODES)
+    trace = cut(retrieval.retrieve(questions.select("qid", "question"), index, modes, RETRIEVAL))
+    named = questions.select("qid", F.explode("gold_entities").alias("name")).join(index.entities.select("file_id", "name"), "name")
+    spans = evaluation.gold_spans(questions, named)
+    shown = evaluation.chunk_evidence(questions, align.evidence_chunks(_located(spark, folder), spans))
+    return evaluation.evaluate(questions, trace, index, _name_table(spark, folder), shown, modes)
+
+
+def evaluation_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _evaluation(spark, folder)
+    lists = {f: F.array_join(F.col(f).cast("array<string>"), ";") for f, kind in rows.dtypes if kind.startswith("array")}
+    return rows.withColumns(lists | {f: F.round(f, 6) for f, kind in rows.dtypes if kind == "double"})
+
+
+def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = metrics.evaluation_summary(_evaluation(spark, folder))
+    return rows.withColumns({f: F.round(f, 6) for f, kind in rows.dtypes if kind == "double"})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -319,7 +343,7 @@ QUERIES = {
         vector_lookup, entity_merge, relation_merge, ordered_distinct, graph_vertices, dangling_endpoints, node_style,
         edge_style, graph_neighbours, graph_one_hop, rerank_two_stage, context_lines, json_extract_props,
         parse_entities, parse_relations, entity_normalize, relation_key_normalize, set_metrics, evidence_metrics,
-        summary_macro_micro,
+        summary_macro_micro, evaluation_rows, evaluation_summary,
     )
 } | {f"retrieve_{m}": _mode(m) for m in ("naive", "local", "global", "hybrid")}
 

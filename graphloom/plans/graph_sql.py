@@ -223,7 +223,103 @@ evald AS (SELECT *, CASE WHEN chunk_precision + evidence_recall = 0 THEN 0.0 ELS
 
 _MACRO = ("chunk_precision", "evidence_recall", "answer_point_recall", "coverage_f1", "ndcg", "reciprocal_rank", "redundancy_rate", "novelty_rate")
 
+def _folded(c: str) -> str:
+    return f"replace(lower({c}), 'ß', 'ss')"
+
+
+def _named(rows: str) -> str:
+    """(qid, name) normalised as names."""
+    return f"SELECT DISTINCT r.qid, coalesce(n.canonical, b) AS item FROM (SELECT *, {_normal('name')} AS b FROM ({rows})) r LEFT JOIN names n ON n.folded = {_folded('b')}"
+
+
+def _paired(rows: str) -> str:
+    """(qid, name) normalised as a||b keys."""
+    return f"""SELECT DISTINCT qid, CASE WHEN len(p) <> 2 THEN {_collapse('name')} WHEN {_folded('a')} <= {_folded('b')} THEN a || '||' || b ELSE b || '||' || a END AS item
+  FROM (SELECT s.*, coalesce(f.canonical, x) AS a, coalesce(g.canonical, y) AS b
+    FROM (SELECT *, string_split(name, '||') AS p, {_normal("string_split(name, '||')[1]")} AS x, {_normal("string_split(name, '||')[2]")} AS y FROM ({rows})) s
+    LEFT JOIN names f ON f.folded = {_folded('x')} LEFT JOIN names g ON g.folded = {_folded('y')})"""
+
+
+def _sets(kind: str) -> str:
+    return f"""{kind}_c AS (
+  SELECT q.mode, q.qid, coalesce(m.n, 0) AS {kind}_matched_count, coalesce(m.l, '') AS {kind}_matched, coalesce(w.n, 0) AS {kind}_gold_count, coalesce(g.n, 0) AS {kind}_retrieved_count
+  FROM every q
+  LEFT JOIN (SELECT g.mode, g.qid, count(*) AS n, string_agg(item, ';' ORDER BY item) AS l FROM {kind}_got g JOIN {kind}_want w USING (qid, item) GROUP BY ALL) m USING (mode, qid)
+  LEFT JOIN (SELECT qid, count(*) AS n FROM {kind}_want GROUP BY ALL) w USING (qid)
+  LEFT JOIN (SELECT mode, qid, count(*) AS n FROM {kind}_got GROUP BY ALL) g USING (mode, qid)),
+{kind}_r AS (SELECT *, CASE WHEN {kind}_gold_count = 0 THEN 0.0 ELSE {kind}_matched_count / {kind}_gold_count END AS {kind}_recall,
+  CASE WHEN {kind}_retrieved_count = 0 THEN 0.0 ELSE {kind}_matched_count / {kind}_retrieved_count END AS {kind}_precision, {kind}_matched_count > 0 AS {kind}_hit FROM {kind}_c),
+{kind}_m AS (SELECT *, CASE WHEN {kind}_recall + {kind}_precision = 0 THEN 0.0 ELSE 2 * {kind}_recall * {kind}_precision / ({kind}_recall + {kind}_precision) END AS {kind}_f1 FROM {kind}_r)"""
+
+
+_PLACES = _LOCATED.replace("ends AS (", "cends AS (").replace("LEFT JOIN ends", "LEFT JOIN cends").removeprefix(f"{_LATEST}, ")
+_EVALUATION = f"""WITH {_INDEX}, {_LOCAL}, {_GLOBAL}, {_top('nhits', 'cn', 5)}, {_NAMES}, {_PLACES},
+hboth AS (SELECT 0 AS b, * FROM ltrace UNION ALL SELECT 1, * FROM gtrace),
+hmarked AS (SELECT hboth.*, CASE WHEN kind = 'chunk' THEN c.text ELSE hboth.id END AS same FROM hboth LEFT JOIN cur c ON hboth.kind = 'chunk' AND c.chunk_id = hboth.id),
+hfirsts AS (SELECT qid, kind, arg_min(id, (b, rank)) AS id, min((b, rank)) AS p FROM hmarked GROUP BY qid, kind, same),
+trace AS (
+  SELECT qid, mode, kind, rank, id FROM ltrace UNION ALL SELECT qid, mode, kind, rank, id FROM gtrace UNION ALL SELECT qid, 'naive', 'chunk', rank, id FROM nhits
+  UNION ALL SELECT qid, 'hybrid', kind, CAST(row_number() OVER (PARTITION BY qid, kind ORDER BY p) AS INT), id FROM hfirsts),
+every AS (SELECT mode, id AS qid, len(gold_answer_points) AS points FROM gold_questions, (VALUES ('naive'), ('local'), ('global'), ('hybrid')) AS m(mode) WHERE length(question) > 0),
+entity_got AS (SELECT DISTINCT split_part(qid, chr(31), 1) AS mode, split_part(qid, chr(31), 2) AS qid, item FROM (
+  {_named("SELECT mode || chr(31) || qid AS qid, en.name FROM trace JOIN en USING (id) WHERE kind = 'entity'")})),
+relation_got AS (SELECT DISTINCT split_part(qid, chr(31), 1) AS mode, split_part(qid, chr(31), 2) AS qid, item FROM (
+  {_paired("SELECT mode || chr(31) || qid AS qid, rn.rel_key AS name FROM trace JOIN rn USING (id) WHERE kind = 'relation'")})),
+entity_want AS ({_named('SELECT id AS qid, unnest(gold_entities) AS name FROM gold_questions')}),
+relation_want AS ({_paired('SELECT id AS qid, unnest(gold_relations) AS name FROM gold_questions')}),
+{_sets('entity')}, {_sets('relation')},
+spans AS (SELECT id AS qid, unnest(gold_evidence_spans) AS s FROM gold_questions),
+qfiles AS (SELECT DISTINCT qid, ent.file_id FROM (SELECT id AS qid, unnest(gold_entities) AS name FROM gold_questions) JOIN ent USING (name)),
+shows AS (
+  SELECT DISTINCT qid, l.chunk_id, s.evidence_id FROM spans JOIN qfiles USING (qid) JOIN located l USING (file_id)
+  WHERE status = 'ok' AND greatest(l.char_start, s.char_start) < least(l.char_end, s.char_end)),
+shown_n AS (SELECT qid, count(DISTINCT chunk_id) AS listed FROM shows GROUP BY ALL),
+got AS (SELECT mode, qid, id AS chunk_id, row_number() OVER (PARTITION BY mode, qid ORDER BY rank) AS rank FROM trace WHERE kind = 'chunk'),
+seen AS (SELECT g.*, s.evidence_id, min(rank) OVER (PARTITION BY mode, qid, evidence_id) AS fr FROM got g JOIN shows s USING (qid, chunk_id)),
+chunk_r AS (SELECT mode, qid, chunk_id, rank, bool_or(fr = rank) AS novel FROM seen GROUP BY ALL),
+chunk_a AS (
+  SELECT mode, qid, count(*) AS relevant, count(*) FILTER (WHERE novel) AS novel, min(rank) AS first_rank, sum(1 / log2(rank + 1)) AS dcg,
+    string_agg(chunk_id, ';' ORDER BY rank) AS relevant_ids, string_agg(chunk_id, ';' ORDER BY rank) FILTER (WHERE novel) AS novel_ids FROM chunk_r GROUP BY mode, qid),
+ev_a AS (SELECT mode, qid, count(DISTINCT evidence_id) AS n, string_agg(DISTINCT evidence_id, ';' ORDER BY evidence_id) AS ids FROM seen GROUP BY ALL),
+pt AS (SELECT DISTINCT mode, e.qid, p FROM (SELECT DISTINCT mode, qid, evidence_id FROM seen) e JOIN (SELECT qid, s.evidence_id AS evidence_id, unnest(s.supports_answer_points) AS p FROM spans) x USING (qid, evidence_id)),
+pt_a AS (SELECT mode, qid, count(*) AS n, string_agg(CAST(p AS VARCHAR), ';' ORDER BY p) AS ids FROM pt GROUP BY ALL),
+gold_a AS (SELECT qid, count(DISTINCT s.evidence_id) AS n FROM spans GROUP BY ALL),
+got_a AS (SELECT mode, qid, count(*) AS n FROM got GROUP BY ALL),
+base AS (
+  SELECT q.mode, q.qid, coalesce(g.n, 0) AS k, coalesce(c.relevant, 0) AS rel, coalesce(c.novel, 0) AS nov, c.first_rank, coalesce(c.dcg, 0.0) AS dcg, coalesce(sn.listed, 0) AS listed,
+    coalesce(c.relevant_ids, '') AS relevant_ids, coalesce(c.novel_ids, '') AS novel_ids, coalesce(e.n, 0) AS ev, coalesce(e.ids, '') AS ev_ids, coalesce(ga.n, 0) AS gold,
+    CAST(q.points AS BIGINT) AS points, coalesce(p.n, 0) AS pts, coalesce(p.ids, '') AS pt_ids
+  FROM every q LEFT JOIN got_a g USING (mode, qid) LEFT JOIN chunk_a c USING (mode, qid) LEFT JOIN shown_n sn USING (qid) LEFT JOIN ev_a e USING (mode, qid)
+  LEFT JOIN gold_a ga USING (qid) LEFT JOIN pt_a p USING (mode, qid)),
+rates AS (
+  SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE rel / k END AS cp, CASE WHEN gold = 0 THEN 0.0 ELSE ev / gold END AS er, CASE WHEN points = 0 THEN 0.0 ELSE pts / points END AS ap,
+    CASE WHEN rel = 0 THEN 0.0 ELSE (rel - nov) / rel END AS red, coalesce(1.0 / first_rank, 0.0) AS rr,
+    CASE WHEN least(k, listed) = 0 THEN 0.0 ELSE dcg / list_sum(list_transform(range(1, CAST(least(k, listed) + 1 AS BIGINT)), lambda i: 1 / log2(i + 1))) END AS nd FROM base),
+rated AS (SELECT *, CASE WHEN cp + er = 0 THEN 0.0 ELSE 2 * cp * er / (cp + er) END AS f FROM rates),
+evaluated AS (
+  SELECT mode, qid, entity_m.* EXCLUDE (mode, qid), relation_m.* EXCLUDE (mode, qid), cp AS chunk_precision, er AS evidence_recall, f AS coverage_f1, ap AS answer_point_recall, rel > 0 AS chunk_hit, k,
+    cp AS precision_at_k, er AS evidence_recall_at_k, ap AS answer_point_recall_at_k, rr AS reciprocal_rank, nd AS ndcg_at_k, CAST(first_rank AS INT) AS first_relevant_rank, red AS redundancy_rate,
+    k AS retrieved_count, rel AS relevant_retrieved_count, nov AS novel_relevant_count, rel - nov AS redundant_relevant_count, gold AS gold_evidence_count, ev AS matched_evidence_count,
+    points AS gold_answer_point_count, pts AS matched_answer_point_count, relevant_ids AS relevant_chunk_ids, novel_ids AS novel_relevant_chunk_ids, ev_ids AS matched_evidence_ids, pt_ids AS matched_answer_point_indices
+  FROM rated JOIN entity_m USING (mode, qid) JOIN relation_m USING (mode, qid))"""
+_RATES = [f"{kind}_{m}" for kind in ("entity", "relation") for m in ("recall", "precision", "f1")] + [
+    "chunk_precision", "evidence_recall", "coverage_f1", "answer_point_recall", "precision_at_k", "evidence_recall_at_k", "answer_point_recall_at_k",
+    "reciprocal_rank", "ndcg_at_k", "redundancy_rate",
+]
+_MEANS = {f"avg_{kind}_{m}": f"{kind}_{m}" for kind in ("entity", "relation") for m in ("recall", "precision", "f1")} | {
+    "avg_chunk_precision": "chunk_precision", "avg_evidence_recall": "evidence_recall", "avg_answer_point_recall": "answer_point_recall", "avg_coverage_f1": "coverage_f1",
+    "mean_reciprocal_rank": "reciprocal_rank", "avg_ndcg_at_k": "ndcg_at_k", "avg_chunk_redundancy_rate": "redundancy_rate",
+    "entity_hit_rate": "CAST(entity_hit AS INT)", "relation_hit_rate": "CAST(relation_hit AS INT)", "chunk_hit_rate": "CAST(chunk_hit AS INT)",
+}
+
 SQL: dict[str, str] = {
+    "evaluation_rows": f"{_EVALUATION} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _RATES)}) FROM evaluated",
+    "evaluation_summary": f"""{_EVALUATION}, s AS (
+  SELECT mode, count(*) AS count, 'canonical evidence coverage' AS metric_protocol, {', '.join(f'round(avg({c}), 6) AS {n}' for n, c in _MEANS.items())},
+    CASE WHEN sum(k) = 0 THEN 0.0 ELSE sum(relevant_retrieved_count) / sum(k) END AS p, CASE WHEN sum(gold_evidence_count) = 0 THEN 0.0 ELSE sum(matched_evidence_count) / sum(gold_evidence_count) END AS r,
+    CASE WHEN sum(gold_answer_point_count) = 0 THEN 0.0 ELSE sum(matched_answer_point_count) / sum(gold_answer_point_count) END AS a FROM evaluated GROUP BY mode)
+SELECT * EXCLUDE (p, r, a), round(p, 6) AS micro_chunk_precision, round(r, 6) AS micro_evidence_recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS micro_coverage_f1,
+  round(a, 6) AS micro_answer_point_recall FROM s""",
     "chunk_fixed": f"""WITH {_DOCS}, w AS (SELECT file_id, text, unnest(range(0, length(text), 2200)) AS i FROM docs WHERE length(text) > 0)
 SELECT file_id || '_chunk_' || (i // 2200 + 1) AS chunk_id, file_id, CAST(i // 2200 + 1 AS INT) AS pos, substring(text, i + 1, 2400) AS text FROM w""",
     "chunk_fixed_stats": f"""WITH {_DOCS}, w AS (SELECT file_id, text, unnest(range(0, length(text), 2200)) AS i FROM docs WHERE length(text) > 0)
@@ -324,7 +420,7 @@ want AS (SELECT DISTINCT qid, coalesce(n.canonical, {_normal('g')}) AS item FROM
 c AS (SELECT q.id AS qid, (SELECT count(*) FROM got JOIN want USING (qid, item) WHERE qid = q.id) AS matched_count,
   (SELECT count(*) FROM want WHERE qid = q.id) AS gold_count, (SELECT count(*) FROM got WHERE qid = q.id) AS retrieved_count FROM gold_questions q),
 m AS (SELECT *, CASE WHEN gold_count = 0 THEN 0.0 ELSE matched_count / gold_count END AS recall, CASE WHEN retrieved_count = 0 THEN 0.0 ELSE matched_count / retrieved_count END AS precision FROM c)
-SELECT qid, matched_count, gold_count, retrieved_count, round(recall, 6) AS recall, round(precision, 6) AS precision,
+SELECT qid, coalesce((SELECT string_agg(item, ';' ORDER BY item) FROM got JOIN want w USING (qid, item) WHERE w.qid = m.qid), '') AS matched, matched_count, gold_count, retrieved_count, round(recall, 6) AS recall, round(precision, 6) AS precision,
   round(CASE WHEN recall + precision = 0 THEN 0.0 ELSE 2 * recall * precision / (recall + precision) END, 6) AS f1, matched_count > 0 AS hit FROM m""",
     "evidence_metrics": f"""WITH {_EVAL} SELECT mode, qid, answer_points, retrieved_chunks, relevant_chunks, novel_chunks, first_relevant_rank, listed_chunks, matched_evidence, gold_evidence,
   matched_points, {', '.join(f'round({c}, 6) AS {c}' for c in _MACRO)}, redundant_chunks, chunk_hit FROM evald""",
