@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 
 # The modes of retrieval and the strategies of chunking.
 MODES = ("naive", "local", "global", "hybrid")
 STRATEGIES = ("fixed", "sentence_window", "semantic")
 
+# The environment variables that hold settings.
+CHUNK_ENV = {
+    "strategy": "CHUNKING_STRATEGY", "fixed_size": "FIXED_WINDOW_SIZE", "fixed_overlap": "FIXED_WINDOW_OVERLAP",
+    "window_size": "SENTENCE_WINDOW_SIZE", "window_overlap": "SENTENCE_WINDOW_OVERLAP", "percentile": "SEMANTIC_BREAKPOINT_PERCENTILE",
+    "min_sentences": "SEMANTIC_MIN_SENTENCES", "max_sentences": "SEMANTIC_MAX_SENTENCES", "buffer": "SEMANTIC_BUFFER_SIZE",
+}
+RETRIEVAL_ENV = {"chunks": "CHUNK_TOP_K", "entities": "ENTITY_TOP_K", "relations": "RELATION_TOP_K", "relation_candidates": "RELATION_CANDIDATE_TOP_K"}
+
+
+def _from_env(kind: type, names: dict[str, str], env: Mapping[str, str] | None):
+    """The settings with what the environment holds, each in the type of its default."""
+    env, default = os.environ if env is None else env, kind()
+    return kind(**{field: type(getattr(default, field))(env[name]) for field, name in names.items() if env.get(name)})
+
 
 @dataclass(frozen=True)
 class ChunkConfig:
@@ -41,6 +57,10 @@ class ChunkConfig:
         if self.buffer < 0:
             raise ValueError("the buffer must not be negative")
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None) -> ChunkConfig:
+        return _from_env(cls, CHUNK_ENV, env)
+
 
 @dataclass(frozen=True)
 class RetrievalConfig:
@@ -49,6 +69,10 @@ class RetrievalConfig:
     relations: int = 5
     relation_candidates: int = 20
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None) -> RetrievalConfig:
+        return _from_env(cls, RETRIEVAL_ENV, env)
+
 
 def fingerprint(*configs: object) -> str:
     """Identifies the settings that a store was built with."""

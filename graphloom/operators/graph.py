@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.merge import first_by
+from graphloom.operators.merge import first_by, relation_key
 
 # Colours of entity types; any other type is grey.
 COLOURS = {
@@ -32,6 +32,20 @@ def vertices(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return ends.join(marked, ["file_id", "name"], "full").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def get_node(keys: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Vertices by key (file_id, name). ``found`` is false where the graph has none; an endpoint without an entity is
+    found, with nulls for what an entity would have."""
+    rows = vertices(entities, relations).withColumn("found", F.lit(True))
+    return keys.select("file_id", "name").join(rows, ["file_id", "name"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def get_edge(keys: DataFrame, relations: DataFrame) -> DataFrame:
+    """Edges by key (file_id, source, target), whichever way round; null where there is none."""
+    rows = relations.select("file_id", "rel_key", "keywords", "description", "source_id", F.lit(True).alias("found"))
+    asked = keys.select("file_id", "source", "target", relation_key(F.col("source"), F.col("target")).alias("rel_key"))
+    return asked.join(rows, ["file_id", "rel_key"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def dangling(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Endpoints that no entity has."""
     ends = relations.select("file_id", F.explode(F.array("source", "target")).alias("name")).distinct()

@@ -39,9 +39,10 @@ def _joined(text: Column, order: Column) -> Column:
 
 def merge_entities(entities: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per (file_id, name): the first type, the non-empty descriptions joined by " | ", and the ordered
-    distinct sources. Names without characters are left out. A file is one document, so a group is bounded by it."""
+    distinct sources. Names without characters, and rows without a file, are left out. A file is one document, so a group
+    is bounded by it."""
     o = F.col(order)
-    rows = entities.where(F.length("name") > 0)
+    rows = entities.where((F.length("name") > 0) & F.col("file_id").isNotNull())
     return rows.groupBy("file_id", "name").agg(
         F.coalesce(F.min_by("type", o), F.lit("")).alias("type"),
         _joined(F.col("description"), o).alias("description"),
@@ -51,9 +52,10 @@ def merge_entities(entities: DataFrame, order: str = "row_id") -> DataFrame:
 
 def merge_relations(relations: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per (file_id, undirected endpoints): the first orientation, keywords and sources in ordered
-    distinct form, descriptions as for entities. ``first_seen`` is the order of the first row."""
+    distinct form, descriptions as for entities. ``first_seen`` is the order of the first row. Rows without a file are
+    left out."""
     o = F.col(order)
-    rows = relations.withColumn("rel_key", relation_key(F.col("source"), F.col("target"))).where(F.col("rel_key") != "")
+    rows = relations.withColumn("rel_key", relation_key(F.col("source"), F.col("target"))).where((F.col("rel_key") != "") & F.col("file_id").isNotNull())
     lists = F.array().cast("array<string>")
     return rows.groupBy("file_id", "rel_key").agg(
         F.min_by("source", o).alias("source"),

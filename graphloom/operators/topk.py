@@ -29,14 +29,14 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _local(shared, k: int):
+def _local(blocks: list, k: int):
     """The best k of every batch for every query; ties are kept, so that the id decides among all rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, matrix, norms = shared.value
+        sides = [shared.value for shared in blocks]
+        width = sides[0][1].shape[1]
         for batch in batches:
-            sizes = batch["vec"].map(len).to_numpy()
-            batch = batch[sizes == matrix.shape[1]]
+            batch = batch[batch["vec"].map(len).to_numpy() == width]
             if not len(batch):
                 continue
             x = np.stack(batch["vec"].to_numpy()).astype(np.float64)
@@ -45,35 +45,33 @@ def _local(shared, k: int):
             if not len(x):
                 continue
             take = min(k, len(x))
-            for start in range(0, len(qids), 256):
-                score = (matrix[start : start + 256] @ x.T) / (norms[start : start + 256, None] * length[None, :])
-                least = -np.partition(-score, take - 1, axis=1)[:, take - 1 : take]
-                q, r = np.nonzero(score >= least)
-                yield pd.DataFrame({"qid": [qids[start + i] for i in q], "id": ids[r], "score": score[q, r]})
+            for qids, matrix, norms in sides:
+                for start in range(0, len(qids), 256):
+                    score = (matrix[start : start + 256] @ x.T) / (norms[start : start + 256, None] * length[None, :])
+                    least = -np.partition(-score, take - 1, axis=1)[:, take - 1 : take]
+                    q, r = np.nonzero(score >= least)
+                    yield pd.DataFrame({"qid": [qids[start + i] for i in q], "id": ids[r], "score": score[q, r]})
 
     return run
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """queries (qid, vec) x vectors (id, vec) -> (qid, id, score, rank). Null and zero vectors, and those of another
-    length than the queries', have no score and are left out; ties go to the smaller id. The queries are counted
-    first and broadcast in blocks."""
+    length than the queries', have no score and are left out; ties go to the smaller id. The queries, which are a stated
+    set, are counted first and broadcast in blocks; the vectors are read once for all of them."""
     spark = vectors.sparkSession
     queries = queries.select(F.col("qid").cast("string").alias("qid"), "vec").where(norm(F.col("vec")) > 0)
     rows = vectors.select(F.col("id").cast("string").alias("id"), "vec").where(F.size("vec") > 0)
     blocks = max(1, -(-queries.count() // block))
-    out = None
+    shared = []
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").toPandas()
-        if not len(part):
-            continue
-        matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
-        shared = spark.sparkContext.broadcast((list(part["qid"]), matrix, np.sqrt((matrix * matrix).sum(axis=1))))
-        hits = rows.mapInPandas(_local(shared, k), _HITS)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
+        if len(part):
+            matrix = np.stack(part["vec"].to_numpy()).astype(np.float64)
+            shared.append(spark.sparkContext.broadcast((list(part["qid"]), matrix, np.sqrt((matrix * matrix).sum(axis=1)))))
+    if not shared:
         return spark.createDataFrame([], "qid string, id string, score double, rank int")
-    return _ranked(out, k)
+    return _ranked(rows.mapInPandas(_local(shared, k), _HITS), k)
 
 
 def top_k_within(queries: DataFrame, candidates: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

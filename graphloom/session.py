@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ def build_session(app_name: str = "graphloom", master: str | None = None, **conf
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -29,16 +32,22 @@ def build_session(app_name: str = "graphloom", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a local one for tests."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Where it is unset, a folder of this process on a
+    local master, which ends with it; on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that every executor can reach")
+        path = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        folder = "file://" + path
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint, so that a lost executor costs no recomputation."""
+    """Materialise ``df`` with a reliable checkpoint, so that a lost executor costs no recomputation. Sessions of
+    ``build_session`` delete its files when nothing refers to it any more."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():

@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.merge import latest_by
-from graphloom.schema import GOLD_DDL
+from graphloom.schema import CHUNK_DDL, ENTITY_DDL, GOLD_DDL, RELATION_DDL
 
-TABLES = ("chunks", "entities", "relations", "chunk_vectors", "entity_vectors", "relation_vectors", "vertices", "edges")
+#: The tables of a store, in the order they are saved in, with their columns.
+TABLES = {
+    "chunks": CHUNK_DDL,
+    "entities": ENTITY_DDL,
+    "relations": RELATION_DDL + ", first_seen bigint",
+    "chunk_vectors": "id string, vec array<double>",
+    "entity_vectors": "id string, vec array<double>",
+    "relation_vectors": "id string, vec array<double>",
+    "vertices": ENTITY_DDL + ", known boolean",
+    "edges": "file_id string, node string, neighbour string, rel_key string, first_seen bigint",
+}
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -62,13 +72,35 @@ class Store:
         return fs.exists(p)
 
     def save(self, name: str, df: DataFrame) -> None:
-        """Written beside and moved into place, so readers never see half a table."""
+        """Written beside and moved into place, so readers never see half a table; the old one goes when the new one
+        stands, and comes back when it cannot be put there."""
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path + ".new")
         fs, p = self._fs(path)
+        new, old = self._fs(path + ".new")[1], self._fs(path + ".old")[1]
         if fs.exists(p):
-            fs.delete(p, True)
-        fs.rename(self._fs(path + ".new")[1], p)
+            fs.delete(old, True)
+            if not fs.rename(p, old):
+                raise OSError(f"{path} cannot be moved aside")
+        if not fs.rename(new, p):
+            fs.rename(old, p)
+            raise OSError(f"{path}.new cannot be moved into place")
+        fs.delete(old, True)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows, such as further vectors, to a table; key and vector are columns of one row."""
+        df.write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def save_all(self, tables: dict[str, DataFrame]) -> None:
+        """Every table of TABLES, in their order; one that is missing is an error before anything is written."""
+        missing = [name for name in TABLES if name not in tables]
+        if missing:
+            raise ValueError(f"missing tables: {', '.join(missing)}")
+        for name in TABLES:
+            self.save(name, tables[name])
+
+    def load_all(self) -> dict[str, DataFrame]:
+        return {name: self.load(name, ddl) for name, ddl in TABLES.items()}
 
     def load(self, name: str, ddl: str) -> DataFrame:
         """The table, or an empty one where it was never saved."""
@@ -110,3 +142,8 @@ def derived_map(chunk_evidence: DataFrame) -> DataFrame:
 def gold_json(gold: dict) -> str:
     """The text form of a gold file: UTF-8, two blanks of indent."""
     return json.dumps(gold, ensure_ascii=False, indent=2)
+
+
+def write_gold(gold: DataFrame, folder: str) -> None:
+    """Gold envelopes (see GOLD_DDL), one JSON object a line; ``read_gold`` takes single objects, so one file each."""
+    gold.repartition("dataset").write.mode("overwrite").option("maxRecordsPerFile", 1).json(folder)
