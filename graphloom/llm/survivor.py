@@ -233,7 +233,8 @@ def survivors(entities: DataFrame, runs: DataFrame) -> DataFrame:
 
     top = F.col("order")[0]
     ahead = ("minus_complete", "minus_at", "minus_trust")
-    return candidates(measured(entities, runs)).select(
+    # Read for the layers and for the candidates, so it is written out once.
+    return candidates(cut(measured(entities, runs))).select(
         "file_id",
         "first_id",
         "size",
