@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.arrays import running_sums
 from graphloom.functions.let import let
 
 # What ends a sentence and a clause, with closing marks that belong to it.
@@ -106,15 +107,9 @@ _SPAN = "ARRAY<STRUCT<start:INT,length:INT>>"
 
 def _spans(parts: Column) -> Column:
     """(start, length) of consecutive parts."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {_SPAN})").alias("spans"))
-    return F.aggregate(
-        parts,
-        zero,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), F.length(p).alias("length"))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    return let(
+        running_sums(F.transform(parts, F.length)),
+        lambda at: F.transform(parts, lambda p, i: F.struct(at[i].alias("start"), F.length(p).alias("length"))),
     )
 
 
